@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import op4_ngram_jaccard_join
 from .quality import op10_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_quality_rules,)}
+    return {f.__name__: f for f in (op4_ngram_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
