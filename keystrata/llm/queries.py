@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import op4_ngram_jaccard_join
 from .quality import op10_quality_rules
+from .suffix_dedup import op3_suffix_array_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_suffix_array_dedup, op4_ngram_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
