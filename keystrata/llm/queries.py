@@ -1,4 +1,8 @@
-"""The corpus queries: each applies its operator with production parameters to its whole table."""
+"""The corpus queries: each applies its operator with production parameters to its whole table.
+
+None of them can be written in SQL as a whole (samplers, codecs, mined rules, connected components), so there is no
+oracle SQL here; tests/llm holds each against brute force, an exact round trip or properties.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op9_chat_windows
+from .gif import op5_gif_media
 from .jaccard_join import op4_ngram_jaccard_join
+from .licenses import op8_license_scan
+from .mixing import op1_cube_mixing
+from .packing import op6_best_fit_packing
+from .paragraphs import op7_paragraph_minhash
 from .quality import op10_quality_rules
 from .suffix_dedup import op3_suffix_array_dedup
+from .url_rules import op2_url_association_rules
+
+OPERATORS = (
+    op1_cube_mixing,
+    op2_url_association_rules,
+    op3_suffix_array_dedup,
+    op4_ngram_jaccard_join,
+    op5_gif_media,
+    op6_best_fit_packing,
+    op7_paragraph_minhash,
+    op8_license_scan,
+    op9_chat_windows,
+    op10_quality_rules,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_array_dedup, op4_ngram_jaccard_join, op10_quality_rules)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
