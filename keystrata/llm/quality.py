@@ -239,6 +239,21 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 5
     return C.pick(docs, doc_id="doc_id", text="text").mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 512) -> DataFrame:
+    """The rows of docs, with all their columns, whose text the rules keep; nothing is shuffled."""
+    ordered = rule_order(docs, rules, sample_rows)
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            kept = [cascade(batch, ordered, False)[1] < 0 for batch in _batches(part.column(at))]
+            if kept:
+                yield part.filter(pa.array(np.concatenate(kept)))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

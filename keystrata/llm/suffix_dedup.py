@@ -249,7 +249,7 @@ def _splitters(docs: DataFrame, total: int, parts: int, sample_bytes: int = 32_0
 
 def repeated_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans: starts and ends of the removed runs; kept_text: what
-    is left, without bytes of characters that a cut went through, if keep_text).
+    is left, without bytes of characters that a cut went through, if keep_text; text_hash: xxhash64 of the text).
 
     Texts are whole UTF-8 byte strings, null being empty; those under 50 bytes lose nothing.  Only a strictly smaller
     id counts: of rows with one id none is removed because of the other.  A null id is larger than every id and not
@@ -260,12 +260,13 @@ def repeated_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     n_buckets = int(max(total / 6e6, least))
     parts = keycount.parts_for(total, least)
     cuts = _splitters(docs, total, n_buckets)
-    dealt = C.bucketed(docs, n_buckets)
+    dealt = C.bucketed(docs, n_buckets).withColumn("text_hash", F.xxhash64("text"))
     pack = lambda x: zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
     def ask(t: pa.Table) -> pa.Table:
         rows = list(keycount.request(t["bucket"][0].as_py(), Bucket(t).keys(), parts))
-        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        C.trim()
+        return keycount.request_table(rows)
 
     def sorted_suffixes(t: pa.Table, answers: pa.Table):
         bucket = Bucket(t)
@@ -282,6 +283,7 @@ def repeated_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         smallest = np.minimum.reduceat(ids[order], starts) if len(starts) else ids
         full = [k for k in range(len(bounds) - 1) if bounds[k] < bounds[k + 1]]
         number = t["bucket"][0].as_py()
+        C.trim()
         return pa.table(
             {
                 "bucket": pa.array([number] * len(full), pa.int32()),
@@ -301,6 +303,7 @@ def repeated_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             n = int((r[:, WINDOW + LEFT].astype(np.int64) - r[:, WINDOW + LEFT + 1] + 1).sum())
             blobs.append(pack(least[at : at + n]))
             at += n
+        C.trim()
         return pa.table({"bucket": t["bucket"], "kind": pa.array([1] * len(t), pa.int32()), "part": t["part"], "classes": C.binaries(blobs)})
 
     def cut(t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -324,7 +327,7 @@ def repeated_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         steps[: len(bucket.data)] += np.bincount(places, minlength=len(bucket.data)).astype(np.int32)
         steps -= np.bincount(places + WINDOW, minlength=len(steps)).astype(np.int32)
         covered = np.cumsum(steps[:-1]) > 0
-        rows = {f.name: [] for f in out}
+        rows = {f.name: [] for f in out} | {"text_hash": t["text_hash"]}
         for i, (a, b) in enumerate(zip(bucket.offsets[:-1], bucket.offsets[1:], strict=True)):
             here = covered[a:b]
             kept = bucket.data[a:b][~here].tobytes()
@@ -336,14 +339,15 @@ def repeated_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             rows["spans"].append(edges.tolist())
             rows["kept_text"].append(_whole_characters(bucket.data[a:b], here) if keep_text else None)
+        C.trim()
         return pa.table(rows, schema=out)
 
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept_text", pa.string())])
+    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept_text", pa.string()), ("text_hash", pa.int64())])
     classes = keycount.count(dealt.groupBy("bucket").applyInArrow(ask, keycount.REQUEST))
     sent = dealt.groupBy("bucket").cogroup(classes.groupBy("bucket")).applyInArrow(send, SUFFIXES_DDL)
     answered = sent.groupBy("part").applyInArrow(answer, ANSWER)
     both = classes.select("bucket", F.lit(0).alias("kind"), "part", "classes").union(answered)
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept_text string"
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept_text string, text_hash long"
     return dealt.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(cut, ddl)
 
 
@@ -359,4 +363,4 @@ def _whole_characters(data: np.ndarray, removed: np.ndarray) -> str:
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text", "text_hash")
