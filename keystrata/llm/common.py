@@ -6,9 +6,12 @@ UTF-8 continuation or lead byte on the separator side, so cutting bytes is the s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import os
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +46,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut lineage in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that lineage no longer needs
+    return out
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -209,6 +222,13 @@ def table(columns: dict, schema: pa.Schema) -> pa.Table:
     return pa.table({f.name: columns[f.name] if isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(columns[f.name], f.type) for f in schema}, schema=schema)
 
 
+def trim() -> None:
+    """Gives freed memory back; Python workers live on between groups, next to the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def binaries(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 

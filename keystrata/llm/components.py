@@ -13,26 +13,23 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _is_forest_of_stars(e: DataFrame) -> bool:
+    """No node is both linked to a smaller one and the smaller one of a link, and none is linked to two."""
+    heads = e.groupBy("u").agg(F.min("v").alias("x"), F.max("v").alias("y"))
+    bad = heads.where("x <> y").select("u").union(heads.select("u").join(e.select(F.col("v").alias("u")), "u", "left_semi"))
+    return not bad.head(1)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs, in any direction, repeated or looped as may be: (node, label) for every node with an edge
     to another, label being the smallest node of its component.  No edges: no rows."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = _state(e)
-    while state[0]:
+    while not _is_forest_of_stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(least, "u")
-        small = linked.select("u", F.col("m").alias("v")).union(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = cut(small)
-        now = _state(e)
-        if now == state:
-            break
-        state = now
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        e = cut(linked.select("u", F.col("m").alias("v")).union(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+    roots = e.select(F.col("v").alias("node")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label")))

@@ -12,9 +12,9 @@ still reach the threshold, all with the band's number of blocks, so that a set t
 Up to 63 members, every member is a block of its own.  The filled blocks of larger sets are at least 7.5 standard
 deviations above what the argument needs.
 
-Candidates that share a rare block are not paired all with all.  Each block first pairs its members with one pivot;
+Candidates that share a rare block are not paired all with all.  Each block first pairs its members with two pivots;
 pairs are verified on the exact sets, and links become components.  Pairs are compared further only across what are
-then still different components, and only if their bit sketches (512 parities) are near enough.
+then still different components, and only if their bit sketches (2048 parities) are near enough.
 """
 
 from __future__ import annotations
@@ -186,8 +186,10 @@ def _candidates(docs: DataFrame, num: int, den: int, shingle: int) -> DataFrame:
     def ask(t: pa.Table) -> pa.Table:
         sets, same = _bucket_sets(t["text"], C.ids_of(t["doc_id"]), shingle)
         keys = Sketches(sets, chosen_of(sets, same), bounds).keys
+        del sets
         rows = list(keycount.request(t["bucket"][0].as_py(), keys, parts))
-        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        C.trim()
+        return keycount.request_table(rows)
 
     def emit(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(t):
@@ -199,6 +201,7 @@ def _candidates(docs: DataFrame, num: int, den: int, shingle: int) -> DataFrame:
         at, keys = sketches.rare(found.of(sketches.keys))
         held = np.unique(at)
         n, m = len(ids), len(held)
+        C.trim()
         return pa.table(
             {
                 "kind": pa.array(np.concatenate([np.full(n, DOCUMENT), np.full(m, MEMBERS), [BLOCKS]]).astype(np.int32)),
@@ -246,16 +249,18 @@ def _verify(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFra
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _star_pairs(blocks: DataFrame, turn: int) -> DataFrame:
-    """(a, b): one member of each component that meets in a block, with one of the block's; each turn takes others.
-    blocks: key, doc, label."""
-    chance = lambda c: F.xxhash64(c, F.lit(turn))
-    heads = blocks.groupBy("key", "label").agg(F.min_by("doc", chance("doc")).alias("b"))
-    pivots = heads.groupBy("key").agg(F.min_by("b", chance("b")).alias("a"))
-    return heads.join(pivots, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _star_pairs(blocks: DataFrame) -> DataFrame:
+    """(a, b): a block's members with two of them, the smallest and one by chance.  blocks: key, doc.
 
+    Of a cluster of near copies, which share most blocks, nearly all get linked this way, with a number of pairs in
+    proportion to the blocks' rows."""
+    pivots = blocks.groupBy("key").agg(F.min("doc").alias("p"), F.min_by("doc", F.xxhash64("doc")).alias("q"), F.count("*").alias("n"))
+    pivots = pivots.where("n > 1").select("key", F.explode(F.array_distinct(F.array("p", "q"))).alias("a"))
+    met = blocks.join(pivots, "key").where("a <> doc")
+    return met.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
 
-def _bit_sketches(sets: Sets, chosen: np.ndarray, bits: int = 512) -> list[bytes]:
+
+def _bit_sketches(sets: Sets, chosen: np.ndarray, bits: int = 2048) -> list[bytes]:
     """Parity of the members that fall on each bit: two sketches differ in no more bits than the sets in members."""
     out = []
     for i in chosen:
@@ -290,11 +295,14 @@ def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, chunk: in
             same &= col[c][order][1:] == col[c][order][:-1]
         new[1:] = ~same
         starts = np.flatnonzero(new)
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        found, fresh = [np.empty((0, 2), np.int64)], 0
+        seen: set[bytes] = set()
         for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
             rows = order[a:b]
-            if len(rows) < 2:
+            members_here = np.sort(col["doc"][rows]).tobytes()
+            if len(rows) < 2 or members_here in seen:  # many blocks have the same members
                 continue
+            seen.add(members_here)
             mixed = col["i"][rows[0]] != col["j"][rows[0]]  # two chunks: only pairs across them
             n, label, part = col["n"][rows], col["label"][rows], col["c"][rows]
             for x in range(0, len(rows), 128):
@@ -306,10 +314,14 @@ def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, chunk: in
                 p, q = np.nonzero(ok)
                 apart = np.bitwise_count(sketch[rows[p + x]] ^ sketch[rows[q]]).sum(axis=1)
                 near = apart <= bounds.apart(n[p + x], n[q])
-                left.append(col["doc"][rows[p[near] + x]])
-                right.append(col["doc"][rows[q[near]]])
-        left, right = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], axis=1), axis=0)
+                pairs = np.stack([col["doc"][rows[p[near] + x]], col["doc"][rows[q[near]]]], axis=1)
+                pairs.sort(axis=1)
+                found.append(pairs)
+                fresh += len(pairs)
+                if fresh > 500_000:
+                    found, fresh = [np.unique(np.concatenate(found), axis=0)], 0
+        pairs = np.unique(np.concatenate(found), axis=0)
+        C.trim()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return units.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
@@ -322,7 +334,18 @@ def _labelled(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "key")
 
 
-def similar_components(docs: DataFrame, num: int = 75, den: int = 100, shingle: int = 5, stars: int = 1) -> DataFrame:
+def cluster(blocks: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, label): components of the sets (members: doc_id, n, keys, docs) that share a block (key, doc) and reach the
+    threshold, together with links (a, b) that are known."""
+    pairs = C.cut(_star_pairs(blocks))
+    links = C.cut(links.union(_verify(pairs, members, num, den)))
+    labels = C.cut(components(links))
+    rest = _across(C.cut(_labelled(blocks, labels)), members, num, den).join(pairs, ["a", "b"], "left_anti")
+    more = C.cut(_verify(rest, members, num, den))
+    return C.cut(components(links.union(more))) if more.head(1) else labels
+
+
+def similar_components(docs: DataFrame, num: int = 75, den: int = 100, shingle: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id): two documents link when den * |A and B| >= num * |A or B|.
 
     Texts are lower-cased for A-Z.  Null, empty and blank texts have no shingles and link with nothing.  Rows with one
@@ -334,27 +357,7 @@ def similar_components(docs: DataFrame, num: int = 75, den: int = 100, shingle:
     documents = rows.where(f"kind = {DOCUMENT}").select("doc_id", "n", "same_as")
     links = documents.where("doc_id <> same_as").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
     blocks = _unpack_blocks(rows)
-    # one pivot a block, whatever the components
-    pivots = blocks.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    pairs = C.cut(blocks.join(pivots, "key").where("a <> doc").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct())
-    links = C.cut(links.union(_verify(pairs, members, num, den)))
-    labels = C.cut(components(links))
-    tried, gained = pairs, True
-    for turn in range(stars):
-        open_blocks = C.cut(_labelled(blocks, labels))
-        pairs = C.cut(_star_pairs(open_blocks, turn).join(tried, ["a", "b"], "left_anti"))
-        more = C.cut(_verify(pairs, members, num, den))
-        tried, gained = tried.union(pairs), bool(more.head(1))
-        if not gained:
-            break
-        links = C.cut(links.union(more))
-        labels = C.cut(components(links))
-    if gained:
-        open_blocks = C.cut(_labelled(blocks, labels))
-    rest = _across(open_blocks, members, num, den).join(tried, ["a", "b"], "left_anti")
-    more = C.cut(_verify(rest, members, num, den))
-    if more.head(1):
-        labels = C.cut(components(links.union(more)))
+    labels = cluster(blocks, members, links, num, den)
     named = documents.join(labels, documents.doc_id == labels.node, "left")
     real = lambda c: F.when(c != C.NULL_ID, c)
     return named.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("label", "doc_id")).alias("component_id"))

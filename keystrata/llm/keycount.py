@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import U64
+from .common import U64, trim
 
 REQUEST = "bucket int, part int, keys binary, counts binary"
 ANSWER = "bucket int, part int, classes binary"
@@ -53,6 +53,10 @@ def request(bucket: int, keys: np.ndarray, parts: int) -> Iterator[dict]:
             yield {"bucket": bucket, "part": part, "keys": pack.compress(planes.tobytes()), "counts": pack.compress(counts[a:b].tobytes())}
 
 
+def request_table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+
 def _unpack(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
@@ -79,6 +83,7 @@ def count(requests: DataFrame) -> DataFrame:
         for k in keys:
             blobs.append(pack.compress(back[at : at + len(k)].tobytes()))
             at += len(k)
+        trim()
         return pa.table({"bucket": table["bucket"], "part": table["part"], "classes": pa.array(blobs, pa.binary())})
 
     return requests.groupBy("part").applyInArrow(answer, ANSWER)
