@@ -43,10 +43,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise and cut lineage in the shared checkpoint folder."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Materialise and cut lineage in the shared checkpoint folder, in at most ``files`` files: what is small next to
+    the input must not become as many files as there are shuffle partitions."""
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    out = (df.coalesce(files) if files else df).checkpoint(eager=True)
     df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that lineage no longer needs
     return out
 
@@ -63,6 +64,10 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def files_for(n: float, a_file: float) -> int:
+    return max(1, math.ceil(n / a_file))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -150,7 +150,8 @@ def draw(documents: DataFrame, targets: list[tuple[str | None, int, float]], see
     alike = joined.groupBy("doc_id", "source", "size", "ratio").agg(F.count("*").alias("times"))
     units = alike.select("doc_id", "source", "size", "ratio", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("row"))
     whole = F.floor(F.col("ratio") + EPS)
-    units = C.cut(units.withColumn("whole", whole.cast("long")).withColumn("chance", F.greatest(F.col("ratio") - whole, F.lit(0.0))))
+    files = C.files_for(documents.count(), 100_000)
+    units = C.cut(units.withColumn("whole", whole.cast("long")).withColumn("chance", F.greatest(F.col("ratio") - whole, F.lit(0.0))), files)
     counts = {r.source: r.n for r in units.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row a source
     slices = {s: max(1, -(-n // slice_rows)) for s, n in counts.items()}
     per = spark.createDataFrame([(s, n) for s, n in slices.items()] or [(None, 1)], "source string, slices int")
@@ -159,7 +160,7 @@ def draw(documents: DataFrame, targets: list[tuple[str | None, int, float]], see
     decided, most, turn = None, max(slices.values(), default=1), 0
     while True:
         last = most == 1
-        done = C.cut(_round(rows, seed + turn, last))
+        done = C.cut(_round(rows, seed + turn, last), files)
         closed = done.where("NOT open")
         decided = closed if decided is None else decided.union(closed)
         if last:
