@@ -197,7 +197,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] | None = None, phrases
             inside = np.isin(block, wanted)
             known, block, ranks = known[inside], block[inside], ranks[inside]
             starts = np.flatnonzero(np.diff(block, prepend=-1))
-            for x, y in zip(starts, np.append(starts[1:], len(block)), strict=True):
+            for x, y in zip(starts, [*starts[1:], len(block)] if len(starts) else [], strict=True):
                 for k, share in join.matches(np.unique(ranks[x:y]).tolist()):
                     d = int(np.searchsorted(first, known[x], side="right") - 1)
                     labels[d].add(templates[k].label)
