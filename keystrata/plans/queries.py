@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bloom_params, bloom_params_columns
+from ..functions.hashing import bloom_params_columns
 from ..operators import blocks, bloom, latest, runs, segments
-from ..operators.changelog import record_bytes, status
+from ..operators.changelog import status
 from ..sources import runfile, wal
 from . import fixtures as fx
 
@@ -232,4 +232,3 @@ NAMED: dict[str, Query] = {
         wal_encode, wal_replay, wal_replay_stats, block_crc, sst_codec,
     )
 }
-__all__ = ["NAMED", "bloom_params", "record_bytes"]
