@@ -14,7 +14,7 @@ from .jaccard_join import similar_components
 from .mixing import mix
 from .packing import pack_documents
 from .quality import keep
-from .suffix_dedup import repeated_spans
+from .suffix_dedup import without_repeats
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -49,23 +49,8 @@ def near_duplicate_stage(docs: DataFrame) -> DataFrame:
 
 
 def substring_stage(docs: DataFrame) -> DataFrame:
-    """Documents without the bytes that repeat an earlier document; a document that loses all its words goes.
-
-    Characters that a cut goes through go as a whole; n_chars, if there, is counted anew."""
-    spans = repeated_spans(docs, keep_text=True).where("n_removed > 0").select("doc_id", "text_hash", "kept_text").dropDuplicates(["doc_id", "text_hash"])
-    plain, names = _keyed(docs)
-    whole = F.col(f"_{docs.columns.index('text')}")
-    cut = plain.join(spans, _id(docs).eqNullSafe(spans.doc_id) & (F.xxhash64(whole) == spans.text_hash), "left")
-    out = cut.where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = []
-    for k, c in names.items():
-        if c == "text":
-            columns.append(F.coalesce("kept_text", whole).alias(k))
-        elif c == "n_chars":
-            columns.append(F.coalesce(F.length("kept_text").cast(docs.schema[c].dataType), F.col(k)).alias(k))
-        else:
-            columns.append(F.col(k))
-    return out.select(*columns).toDF(*names.values())
+    """Documents without the bytes that repeat an earlier document; a document that loses all its words goes."""
+    return without_repeats(docs)
 
 
 def mixing_stage(docs: DataFrame) -> DataFrame:

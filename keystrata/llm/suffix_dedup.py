@@ -247,20 +247,15 @@ def _splitters(docs: DataFrame, total: int, parts: int, sample_bytes: int = 32_0
     return np.array(sorted(set(cuts)), dtype="S16")
 
 
-def repeated_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans: starts and ends of the removed runs; kept_text: what
-    is left, without bytes of characters that a cut went through, if keep_text; text_hash: xxhash64 of the text).
-
-    Texts are whole UTF-8 byte strings, null being empty; those under 50 bytes lose nothing.  Only a strictly smaller
-    id counts: of rows with one id none is removed because of the other.  A null id is larger than every id and not
-    smaller than another null.  An empty table gives no rows."""
-    docs = C.pick(docs, doc_id="doc_id", text="text")
-    total = C.text_bytes(docs)
-    least = C.shuffle_partitions(docs.sparkSession)
-    n_buckets = int(max(total / 6e6, least))
+def _deduplicated(plain: DataFrame, finish, out) -> DataFrame:
+    """plain (doc_id, text, and what else ``finish`` needs): finish(rows of a bucket, Bucket, removed flags of its
+    bytes) for every bucket; ``out`` is the schema of what it returns."""
+    total = C.text_bytes(plain)
+    least = C.shuffle_partitions(plain.sparkSession)
+    n_buckets = int(max(total / C.BUCKET_BYTES, least))
     parts = keycount.parts_for(total, least)
-    cuts = _splitters(docs, total, n_buckets)
-    dealt = C.bucketed(docs, n_buckets).withColumn("text_hash", F.xxhash64("text"))
+    cuts = _splitters(plain, total, n_buckets)
+    dealt = C.bucketed(plain, n_buckets)
     pack = lambda x: zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
     def ask(t: pa.Table) -> pa.Table:
@@ -307,8 +302,8 @@ def repeated_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         return pa.table({"bucket": t["bucket"], "kind": pa.array([1] * len(t), pa.int32()), "part": t["part"], "classes": C.binaries(blobs)})
 
     def cut(t: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(t):
-            return out.empty_table()
+        if not len(t):  # answers come only to buckets that asked
+            return finish(t, Bucket(t), np.empty(0, bool))
         kind = answers["kind"].to_numpy()
         bucket, ids, low, count, order, starts, unique, bounds = sorted_suffixes(t, answers.filter(pa.array(kind == 0)))
         back = answers.filter(pa.array(kind == 1))
@@ -326,9 +321,28 @@ def repeated_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         places = (np.repeat(low, count) + inside)[gone]
         steps[: len(bucket.data)] += np.bincount(places, minlength=len(bucket.data)).astype(np.int32)
         steps -= np.bincount(places + WINDOW, minlength=len(steps)).astype(np.int32)
-        covered = np.cumsum(steps[:-1]) > 0
-        rows = {f.name: [] for f in out} | {"text_hash": t["text_hash"]}
-        for i, (a, b) in enumerate(zip(bucket.offsets[:-1], bucket.offsets[1:], strict=True)):
+        out_rows = finish(t, bucket, np.cumsum(steps[:-1]) > 0)
+        C.trim()
+        return out_rows
+
+    classes = keycount.count(dealt.groupBy("bucket").applyInArrow(ask, keycount.REQUEST))
+    sent = dealt.groupBy("bucket").cogroup(classes.groupBy("bucket")).applyInArrow(send, SUFFIXES_DDL)
+    answered = sent.groupBy("part").applyInArrow(answer, ANSWER)
+    both = classes.select("bucket", F.lit(0).alias("kind"), "part", "classes").union(answered)
+    return dealt.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(cut, out)
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans: starts and ends of the removed runs).
+
+    Texts are whole UTF-8 byte strings, null being empty; those under 50 bytes lose nothing.  Only a strictly smaller
+    id counts: of rows with one id none is removed because of the other.  A null id is larger than every id and not
+    smaller than another null.  An empty table gives no rows."""
+    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
+
+    def finish(_: pa.Table, bucket: Bucket, covered: np.ndarray) -> pa.Table:
+        rows = {f.name: [] for f in out}
+        for i, (a, b) in enumerate(zip(bucket.offsets[:-1], bucket.offsets[1:], strict=True)) if len(bucket.ids) else ():
             here = covered[a:b]
             kept = bucket.data[a:b][~here].tobytes()
             edges = np.flatnonzero(np.diff(here.astype(np.int8), prepend=0, append=0)) if here.any() else np.empty(0, np.int64)
@@ -338,17 +352,34 @@ def repeated_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             rows["n_spans"].append(len(edges) // 2)
             rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             rows["spans"].append(edges.tolist())
-            rows["kept_text"].append(_whole_characters(bucket.data[a:b], here) if keep_text else None)
-        C.trim()
         return pa.table(rows, schema=out)
 
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept_text", pa.string()), ("text_hash", pa.int64())])
-    classes = keycount.count(dealt.groupBy("bucket").applyInArrow(ask, keycount.REQUEST))
-    sent = dealt.groupBy("bucket").cogroup(classes.groupBy("bucket")).applyInArrow(send, SUFFIXES_DDL)
-    answered = sent.groupBy("part").applyInArrow(answer, ANSWER)
-    both = classes.select("bucket", F.lit(0).alias("kind"), "part", "classes").union(answered)
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept_text string, text_hash long"
-    return dealt.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(cut, ddl)
+    return _deduplicated(C.pick(docs, doc_id="doc_id", text="text"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with texts cut: what ``repeated_spans`` removes is gone, together with what a cut left of a
+    character.  A null text stays null; a document that loses all its words goes; n_chars, if there, is counted anew
+    for texts that changed."""
+    names, places = docs.columns, [f"_{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*places)
+    at = {c: f"_{names.index(c)}" for c in ("doc_id", "text")}
+    chars = f"_{names.index('n_chars')}" if "n_chars" in names else None
+    carried = plain.withColumn("doc_id", F.col(at["doc_id"]).cast("long")).withColumnRenamed(at["text"], "text")
+
+    def finish(t: pa.Table, bucket: Bucket, covered: np.ndarray) -> pa.Table:
+        texts, keep = t["text"].to_pylist(), np.ones(len(t), bool)
+        old = t[chars].to_pylist() if chars else None
+        for i, (a, b) in enumerate(zip(bucket.offsets[:-1], bucket.offsets[1:], strict=True)) if len(t) else ():
+            if covered[a:b].any():
+                texts[i] = _whole_characters(bucket.data[a:b], covered[a:b])
+                keep[i] = C.WORD_SPACE[np.frombuffer(texts[i].encode(), np.uint8)].any()
+                if old:
+                    old[i] = len(texts[i])
+        columns = {c: pa.array(texts, pa.string()) if c == at["text"] else pa.array(old, t[c].type) if c == chars else t[c] for c in places}
+        return pa.table(columns).filter(pa.array(keep))
+
+    return _deduplicated(carried, finish, plain.schema).toDF(*names)
 
 
 def _whole_characters(data: np.ndarray, removed: np.ndarray) -> str:
@@ -363,4 +394,4 @@ def _whole_characters(data: np.ndarray, removed: np.ndarray) -> str:
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text", "text_hash")
+    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
