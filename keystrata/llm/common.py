@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Text that a bucket holds, which bounds what a group's function keeps in memory.
+BUCKET_BYTES = 4e6
 #: Stands for a null id inside numpy arrays: after every real id.
 NULL_ID = np.iinfo(np.int64).max
 

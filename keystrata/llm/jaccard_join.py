@@ -170,12 +170,11 @@ OUT_DDL = "kind int, doc_id long, n long, same_as long, keys binary, docs binary
 DOCUMENT, MEMBERS, BLOCKS = 0, 1, 2
 
 
-def _candidates(docs: DataFrame, num: int, den: int, shingle: int) -> DataFrame:
+def _candidates(docs: DataFrame, total: int, num: int, den: int, shingle: int) -> DataFrame:
     """Rows of three kinds: each document with its set's size and the bucket's first equal one; the sets of the
     documents with rare shared blocks; and those blocks, many (key, document) a row."""
-    total = C.text_bytes(docs)
     least = C.shuffle_partitions(docs.sparkSession)
-    n_buckets = int(max(total / 6e6, least))
+    n_buckets = int(max(total / C.BUCKET_BYTES, least))
     parts = keycount.parts_for(total, least)
     bounds = Bounds(num, den)
     dealt = C.bucketed(docs, n_buckets)
@@ -269,25 +268,54 @@ def _bit_sketches(sets: Sets, chosen: np.ndarray, bits: int = 2048) -> list[byte
     return out
 
 
-def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, chunk: int = 1024) -> DataFrame:
+def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, small_sets: bool, chunk: int = 1024) -> DataFrame:
     """(a, b): members of one block whose components differ, whose sizes fit and whose bit sketches are no further
-    apart than the threshold allows.
+    apart than the threshold allows.  With small_sets the sets travel along, and only pairs that reach the threshold
+    and join components that no pair before has joined leave a unit of work: fewer than it has members.
 
     A block's members are dealt into chunks of about ``chunk``, and each pair of chunks is one unit of work, so the
     largest block does not bound a task; only pairs that pass the sketches leave it."""
     bounds = Bounds(num, den)
     spark = blocks.sparkSession
     sized = blocks.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"))
-    known = members.select(F.col("doc_id").alias("doc"), F.col("n"), F.col("docs").alias("sketch"))
+    known = members.select(F.col("doc_id").alias("doc"), F.col("n"), F.col("docs").alias("sketch"), *([F.col("keys").alias("members")] if small_sets else []))
+    more = ["members"] if small_sets else []
     dealt = blocks.join(known, "doc").join(sized, "key").withColumn("c", F.pmod(F.xxhash64("doc"), "k").cast("int"))
-    units = dealt.select("key", "doc", "label", "n", "sketch", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    units = dealt.select("key", "doc", "label", "n", "sketch", *more, "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     cells = max(C.shuffle_partitions(spark), int(blocks.count() / 20_000) + 1)
-    units = units.select(F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "key", "doc", "label", "n", "sketch")
+    units = units.select(F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "key", "doc", "label", "n", "sketch", *more)
     units = units.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)).cast("int"))
 
     def compare(t: pa.Table) -> pa.Table:
         col = {c: t[c].to_numpy() for c in ("i", "j", "c", "key", "doc", "label", "n")}
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), U64).reshape(len(t), -1)
+        sets = [np.frombuffer(x, U64) for x in t["members"].to_pylist()] if small_sets else None
+        root: dict[int, int] = {}
+        tried: set[tuple[int, int]] = set()
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def joins(a: int, b: int) -> bool:
+            """Whether rows a and b reach the threshold and their components were apart."""
+            x, y = find(int(col["label"][a])), find(int(col["label"][b]))
+            pair = (int(col["doc"][a]), int(col["doc"][b]))
+            if x == y or pair in tried:
+                return False
+            if len(tried) > 2_000_000:
+                tried.clear()
+            tried.add(pair)
+            both = np.concatenate([sets[a], sets[b]])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            if den * common < num * (len(both) - common):
+                return False
+            root[max(x, y)] = min(x, y)
+            return True
+
         order = np.lexsort((col["j"], col["i"], col["key"]))
         new = np.ones(len(order), bool)
         same = np.ones(len(order) - 1, bool)
@@ -314,6 +342,8 @@ def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, chunk: in
                 p, q = np.nonzero(ok)
                 apart = np.bitwise_count(sketch[rows[p + x]] ^ sketch[rows[q]]).sum(axis=1)
                 near = apart <= bounds.apart(n[p + x], n[q])
+                if small_sets:
+                    near = np.array([bool(k) and joins(a, b) for k, a, b in zip(near, rows[p + x], rows[q], strict=True)], bool)
                 pairs = np.stack([col["doc"][rows[p[near] + x]], col["doc"][rows[q[near]]]], axis=1)
                 pairs.sort(axis=1)
                 found.append(pairs)
@@ -334,15 +364,15 @@ def _labelled(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "key")
 
 
-def cluster(blocks: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+def cluster(blocks: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int, files: int, small_sets: bool = False) -> DataFrame:
     """(node, label): components of the sets (members: doc_id, n, keys, docs) that share a block (key, doc) and reach the
     threshold, together with links (a, b) that are known."""
-    pairs = C.cut(_star_pairs(blocks))
-    links = C.cut(links.union(_verify(pairs, members, num, den)))
-    labels = C.cut(components(links))
-    rest = _across(C.cut(_labelled(blocks, labels)), members, num, den).join(pairs, ["a", "b"], "left_anti")
-    more = C.cut(_verify(rest, members, num, den))
-    return C.cut(components(links.union(more))) if more.head(1) else labels
+    pairs = C.cut(_star_pairs(blocks), files)
+    links = C.cut(links.union(_verify(pairs, members, num, den)), files)
+    labels = C.cut(components(links, files), files)
+    rest = _across(C.cut(_labelled(blocks, labels), files), members, num, den, small_sets)
+    more = C.cut(rest if small_sets else _verify(rest.join(pairs, ["a", "b"], "left_anti"), members, num, den), files)
+    return C.cut(components(links.union(more), files), files) if more.head(1) else labels
 
 
 def similar_components(docs: DataFrame, num: int = 75, den: int = 100, shingle: int = 5) -> DataFrame:
@@ -352,12 +382,13 @@ def similar_components(docs: DataFrame, num: int = 75, den: int = 100, shingle:
     id are one document as to components, and each row has its own size; null ids count as one document, after all
     others.  Equal texts always link.  An empty table gives no rows."""
     docs = C.pick(docs, doc_id="doc_id", text="text")
-    rows = C.cut(_candidates(docs, num, den, shingle))
+    total = C.text_bytes(docs)
+    rows = C.cut(_candidates(docs, total, num, den, shingle))
     members = rows.where(f"kind = {MEMBERS}")
     documents = rows.where(f"kind = {DOCUMENT}").select("doc_id", "n", "same_as")
     links = documents.where("doc_id <> same_as").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
     blocks = _unpack_blocks(rows)
-    labels = cluster(blocks, members, links, num, den)
+    labels = cluster(blocks, members, links, num, den, C.files_for(total, 8e6))
     named = documents.join(labels, documents.doc_id == labels.node, "left")
     real = lambda c: F.when(c != C.NULL_ID, c)
     return named.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("label", "doc_id")).alias("component_id"))

@@ -130,6 +130,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
         for a, b in C.doc_runs(offsets):
             own = offsets[a : b + 1] - offsets[a]
             yield batch, a, b, C.words_of(data[offsets[a] : offsets[b]], own, C.WORD_ALNUM, lower=True), own
+        C.trim()
 
 
 def _blocks(words: C.Words, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -232,6 +232,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 5
                 continue
             failed = np.concatenate(by)
             label = pa.DictionaryArray.from_arrays(pa.array(np.maximum(failed, 0), mask=failed < 0), pa.array([r.name for r in ordered])).cast(pa.string())
+            C.trim()
             columns = {"doc_id": part.column(0).cast(pa.int64())} | {c: pa.array(np.concatenate(v)) for c, v in stats.items()} | {"failed": label, "kept": pa.array(failed < 0)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -248,6 +249,7 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 51
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             kept = [cascade(batch, ordered, False)[1] < 0 for batch in _batches(part.column(at))]
+            C.trim()
             if kept:
                 yield part.filter(pa.array(np.concatenate(kept)))
 
