@@ -60,7 +60,8 @@ class Paragraphs:
         self.n_words = stop - begin
         self.low = begin - words.first[self.doc] + first[self.doc]
         self.high = self.low + self.n_words - (shingle - 1)
-        sums = np.concatenate([[0], np.cumsum(self.h, dtype=U64)]).astype(U64)
+        sums = np.zeros(len(self.h) + 1, U64)
+        np.cumsum(self.h, out=sums[1:])
         self.node = C.mix(sums[self.high] - sums[self.low] + self.n_words.astype(U64) * U64(C.BASE)).view(np.int64)
         self.bands = np.empty((len(begin), n_bands), U64)
         if len(begin):
@@ -85,10 +86,9 @@ OUT_DDL = "kind int, doc_id long, n long, keys binary, docs binary"
 PLACE = np.dtype([("node", "<i8"), ("doc", "<i8"), ("line", "<i8"), ("start", "<i8"), ("n_bytes", "<i8"), ("n_words", "<i8")])
 
 
-def _candidates(docs: DataFrame, n_bands: int, enough: int, least_words: int, shingle: int) -> DataFrame:
-    total = C.text_bytes(docs)
+def _candidates(docs: DataFrame, total: int, n_bands: int, enough: int, least_words: int, shingle: int) -> DataFrame:
     least = C.shuffle_partitions(docs.sparkSession)
-    n_buckets = int(max(total / 6e6, least))
+    n_buckets = int(max(total / C.BUCKET_BYTES, least))
     parts = keycount.parts_for(total, least)
     dealt = C.bucketed(docs, n_buckets)
 
@@ -176,13 +176,15 @@ def repeated_paragraphs(docs: DataFrame, num: int = 75, den: int = 100, recall:
     Null, empty and short texts have no paragraphs.  Repetition inside one document alone is not reported.  A null id
     is one document, after all others; so are rows with one id.  No repetition, or an empty table: no rows."""
     docs = C.pick(docs, doc_id="doc_id", text="text")
-    rows = C.cut(_candidates(docs, bands(num / den, recall), enough, least_words, shingle))
+    total = C.text_bytes(docs)
+    files = C.files_for(total, 8e6)
+    rows = C.cut(_candidates(docs, total, bands(num / den, recall), enough, least_words, shingle))
     members = rows.where(f"kind = {MEMBERS}").dropDuplicates(["doc_id"])
     blocks = _unpack_blocks(rows).distinct()
     none = rows.where("false").select(F.col("doc_id").alias("a"), F.col("n").alias("b"))
-    labels = cluster(blocks, members, none, num, den)
+    labels = cluster(blocks, members, none, num, den, files, small_sets=True)
     places = _places(rows)
-    named = C.cut(places.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node"))
+    named = C.cut(places.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node"), files)
     first = named.groupBy("label").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("doc").alias("last"))
     first = first.where("first.doc <> last").select("label", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
     out = named.join(first, "label")
