@@ -182,7 +182,7 @@ def least_documents(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return answer[at]
 
 
-def _every(group: np.ndarray, counts: np.ndarray, size: int = 400_000) -> np.ndarray:
+def _every(group: np.ndarray, counts: np.ndarray, size: int = 200_000) -> np.ndarray:
     """Which group boundaries to split at, so that parts have about ``size`` windows and groups stay whole."""
     ends = np.cumsum(counts)[np.flatnonzero(np.diff(group) > 0)]
     return np.flatnonzero(np.diff(ends // size, prepend=0) > 0)
