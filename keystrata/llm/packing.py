@@ -11,6 +11,8 @@ repeated chunks up in a bounded cache; the chunks themselves go through the toke
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +33,8 @@ PIECE = np.dtype([("doc", "<i8"), ("start", "<i8"), ("piece", "<i4"), ("length",
 class ChunkTokenizer:
     """Token ids of texts through a cache of white-space chunks.  Two generations of at most ``most`` chunks each."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 150_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each worker one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,14 +51,33 @@ class ChunkTokenizer:
                     young[c] = old[c]
                 else:
                     missing.append(c)
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                young[c] = np.array(e.ids, "<u4").tobytes()
+        words = [c for c in missing if c.isalpha()]
+        self._encode_each([c for c in missing if not c.isalpha()])
+        for at in range(0, len(words), 64 * 64):
+            groups = [words[k : k + 64] for k in range(at, min(at + 64 * 64, len(words)), 64)]
+            for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                word_of = np.array(e.word_ids)
+                if word_of[-1] != len(group) - 1:  # some letters are none to the tokenizer
+                    self._encode_each(group)
+                    continue
+                bounds = (4 * np.searchsorted(word_of, np.arange(len(group) + 1))).tolist()
+                raw = np.array(e.ids, "<u4").tobytes()
+                for c, a, b in zip(group, bounds[:-1], bounds[1:], strict=True):
+                    young[c] = raw[a:b]
         return [young[c] for c in chunks]
 
+    def _encode_each(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 4096):
+            part = chunks[at : at + 4096]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.young[c] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and n + 1 bounds."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            # the tokenizer lower-cases and splits letters from marks anyway; doing it first makes chunks repeat more.
+            # Its special tokens are looked for in the raw text, so a text that may hold one is left alone
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([!-&(-/:-@\[-`{-~])", r"\1 \2")
         spaced = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         chunks = spaced.values.dictionary_encode() if not isinstance(spaced.values, pa.ChunkedArray) else spaced.values.combine_chunks().dictionary_encode()
         ids = self._ids(chunks.dictionary.to_pylist())
@@ -69,16 +91,22 @@ class ChunkTokenizer:
         return flat[at], ends[np.asarray(spaced.offsets)]
 
 
+@functools.cache
+def _encoder(path: str) -> ChunkTokenizer:
+    """One for each worker process: its cache serves all of the worker's tasks."""
+    return ChunkTokenizer(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, crc): each document's ids and then ``end``, cut only beyond the capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkTokenizer(C.tokenizer_path(tokenizer))
+        encoder = _encoder(C.tokenizer_path(tokenizer))
         for batch in batches:
             doc_ids = C.ids_of(batch.column(0))
             texts = batch.column(1).fill_null("")
             _, offsets = C.text_buffers(texts)
-            for a, b in C.doc_runs(offsets):
+            for a, b in C.doc_runs(offsets, 4 << 20):
                 ids, bounds = encoder.encode(texts.slice(a, b - a))
                 out = []
                 for i in range(b - a):
@@ -166,12 +194,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = 4, slice_rows
     pieces = C.cut(pieces)
     count = pieces.count()
     slices = max(1, -(-count // slice_rows))
+    files = C.files_for(count, 100_000)
     # pieces are materialised, so a row's number is stable; it deals equal rows to different slices
     dealt = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id() % 997), F.lit(slices)).cast("int"))
     items, turn, packed = _as_items(dealt), 0, None
     while True:
         last = slices == 1
-        bins = C.cut(_round(items, turn, last, capacity, slack))
+        bins = C.cut(_round(items, turn, last, capacity, slack), files)
         done = bins.where("done")
         packed = done if packed is None else packed.union(done)
         if last:
