@@ -70,3 +70,17 @@ def test_packing(stages):
 
 def test_run(spark, small):
     assert pipeline.run(spark, small).count() > 0
+
+
+def test_empty(spark, small, stages):
+    docs = stages[0].where("false")
+    for _, stage in pipeline.STAGES:
+        docs = common.rewritten(stage(spark, docs, small))
+        assert docs.count() == 0
+
+
+def test_one_row(spark, small, stages):
+    docs = stages[0].where("doc_id = 6")
+    for _, stage in pipeline.STAGES:
+        docs = common.rewritten(stage(spark, docs, small))
+    assert docs.count() >= 1
