@@ -357,11 +357,17 @@ def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, small_set
     return units.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _labelled(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks whose members are of several components still."""
+def _labelled(blocks: DataFrame, labels: DataFrame, once: bool) -> DataFrame:
+    """Blocks whose members are of several components still; with ``once``, of blocks with the same members only one
+    (told by 128 bits of XORed hashes and their number)."""
     named = blocks.join(labels, blocks.doc == labels.node, "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    return named.join(mixed, "key")
+    ends = [F.min("label").alias("x"), F.max("label").alias("y")]
+    if once:
+        ends += [F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("h"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("i")]
+    mixed = named.groupBy("key").agg(*ends).where("x <> y")
+    if once:
+        mixed = mixed.groupBy("n", "h", "i").agg(F.min("key").alias("key"))
+    return named.join(mixed.select("key"), "key")
 
 
 def cluster(blocks: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int, files: int, small_sets: bool = False) -> DataFrame:
@@ -370,7 +376,7 @@ def cluster(blocks: DataFrame, members: DataFrame, links: DataFrame, num: int, d
     pairs = C.cut(_star_pairs(blocks), files)
     links = C.cut(links.union(_verify(pairs, members, num, den)), files)
     labels = C.cut(components(links, files), files)
-    rest = _across(C.cut(_labelled(blocks, labels), files), members, num, den, small_sets)
+    rest = _across(C.cut(_labelled(blocks, labels, small_sets), files), members, num, den, small_sets)
     more = C.cut(rest if small_sets else _verify(rest.join(pairs, ["a", "b"], "left_anti"), members, num, den), files)
     return C.cut(components(links.union(more), files), files) if more.head(1) else labels
 
