@@ -267,6 +267,30 @@ def test_paragraphs(docs, rows):
         assert r.removed == ((r.doc_id, r.line) != (r.first_doc_id, r.first_line))
 
 
+def test_paragraphs_inside_lines(spark):
+    """Any 50 words that two documents share hold a window of both, in long lines and across lines."""
+    rng = np.random.default_rng(9)
+    fresh = lambda n: [f"f{k}" for k in rng.integers(0, 1 << 40, n)]
+    rows, shared = [], []
+    for k, (n, before) in enumerate([(50, 75), (50, 1), (57, 9), (61, 33), (120, 40), (50, 0)]):
+        passage = fresh(n)
+        for way in range(2):
+            words = fresh(before + 7 * way) + passage + fresh(80 - before)
+            breaks = rng.integers(0, 25, len(words)) == 0 if k % 2 else np.zeros(len(words), bool)
+            rows.append((2 * k + way, "".join(w + ("\n" if b else " ") for w, b in zip(words, breaks, strict=True))))
+            shared.append(passage)
+    rows.append((99, " ".join(["same"] * 200)))
+    found = defaultdict(list)
+    for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, ROWS), passage=50).collect():
+        text = dict(rows)[r.doc_id]
+        found[r.doc_id].append((text[r.start : r.start + r.n_bytes].split(), r.removed, r.first_doc_id))
+        assert r.line == text[: r.start].count("\n")
+    assert set(found) == set(range(12))
+    for i, passage in enumerate(shared):
+        ends = [k + 30 for k in range(len(passage) - 29) for w, removed, first in found[i] if w == passage[k : k + 30] and removed == bool(i % 2) and first == i - i % 2]
+        assert all(any(a + 30 <= e <= a + 50 for e in ends) for a in range(len(passage) - 49))
+
+
 def test_bands():
     for recall in (0.9, 0.99, 0.999):
         n = paragraphs.bands(0.75, recall)
