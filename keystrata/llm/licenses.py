@@ -1,7 +1,8 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
 Base labels come from phrases whose words stand side by side.  The method adds the label of every template of which a
-text block (a line) holds at least ``num / den`` of the distinct words.
+text block holds at least ``num / den`` of the distinct words.  A block is a line, or the lines that as many words in a row
+as the template has may touch, so that a wrapped notice is one block; lines without words do not count.
 
 The join is exact.  Template words are ordered by how many blocks of the whole corpus hold them, rarest first.  A block
 that reaches the threshold c of a template with n words holds one of its n - c + 1 rarest words (prefix filter), has at
@@ -47,6 +48,7 @@ TEMPLATES = (
 class Template:
     label: str
     words: frozenset[bytes]
+    length: int  # words, repeated ones as well
 
 
 def words_in(text: str) -> list[bytes]:
@@ -57,7 +59,7 @@ def words_in(text: str) -> list[bytes]:
 
 
 def templates_of(texts: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[Template, ...]:
-    return tuple(Template(label, frozenset(words_in(t))) for label, t in texts)
+    return tuple(Template(label, frozenset(w), len(w)) for label, w in ((label, words_in(t)) for label, t in texts))
 
 
 class Vocabulary:
@@ -124,6 +126,50 @@ class Join:
         return out
 
 
+    def wrapped(self, known: np.ndarray, ranks: np.ndarray, begin: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """(document, first word, template, containment) of blocks of two or more lines of which both the first and the
+        last add words; known words with their ranks, the first word of each line and of each document."""
+        hits = np.flatnonzero(self.is_prefix[ranks])
+        if not len(hits):
+            return
+        line = np.searchsorted(begin, known, side="right") - 1
+        edge = np.searchsorted(line, np.arange(len(begin) + 1)).tolist()
+        doc = (np.searchsorted(first, begin, side="right") - 1).tolist()
+        begin, ranks, wanted = begin.tolist(), ranks.tolist(), [set(x) for x in self.sorted]
+        tried, done = set(), set()
+
+        def common(k: int, a: int, b: int) -> int:
+            return len(wanted[k].intersection(ranks[edge[a] : edge[b + 1]]))
+
+        for p, r in zip(line[hits].tolist(), (ranks[h] for h in hits), strict=True):
+            for k, _ in self.index[r]:
+                if (p, k) in tried:
+                    continue
+                tried.add((p, k))
+                low = high = p
+                room = self.templates[k].length - 2  # words of lines between the first and the last
+                while low and doc[low - 1] == doc[p] and begin[p] - begin[low] <= room:
+                    low -= 1
+                while high + 1 < len(begin) and doc[high + 1] == doc[p] and begin[high + 1] - begin[p + 1] <= room:
+                    high += 1
+                if common(k, low, high) < self.least[k]:
+                    continue
+                for i in range(low, p + 1):
+                    a, b = i, high
+                    while b > p and begin[b] - begin[a + 1] > room:
+                        b -= 1
+                    n = common(k, a, b)
+                    if n < self.least[k]:
+                        continue
+                    while b > a and common(k, a, b - 1) == n:
+                        b -= 1
+                    while b > a and common(k, a + 1, b) == n:
+                        a += 1
+                    if a < b and (a, b, k) not in done:
+                        done.add((a, b, k))
+                        yield doc[a], begin[a] - int(first[doc[a]]), k, n / len(wanted[k])
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, C.Words, np.ndarray]]:
     for batch in batches:
         data, offsets = C.text_buffers(batch.column("text"))
@@ -194,6 +240,12 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] | None = None, phrases
             known = np.flatnonzero(number >= 0)
             block = _blocks(words, offsets, known)
             ranks = join.rank[number[known]]
+            breaks = np.concatenate([[0], np.flatnonzero(words.data == 10), offsets[1:-1]])
+            begin = np.unique(np.searchsorted(words.starts, breaks))
+            for d, word, k, share in join.wrapped(known, ranks, begin[begin < len(words.starts)], first):
+                labels[d].add(templates[k].label)
+                score[d] = max(score[d], share)
+                found[d].append({"word": word, "label": templates[k].label, "containment": share})
             wanted = np.unique(block[join.is_prefix[ranks]])
             inside = np.isin(block, wanted)
             known, block, ranks = known[inside], block[inside], ranks[inside]

@@ -341,6 +341,27 @@ def test_licenses(spark, docs, rows):
     assert any("mit" in x[6] and not x[5] for x in got)
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    rows = [
+        (0, mit),
+        (1, "Copyright X\n\n" + bsd + "\n1. more"),
+        (2, "\n".join(licenses.TEMPLATES[3][1].split())),
+        (3, " * " + mit.replace("\n", "\r\n *\n * ")),
+        (4, mit.replace("\n", "\n" + "between " * 30 + "\n")),
+        (5, mit.split("\n")[0]),
+        (6, mit.split("\n")[1]),
+        (7, "Permission is hereby granted to nobody\n" * 9),
+        (8, mit.replace("\n", " ")),
+    ]
+    got = {r.doc_id: (r.labels, r.score, [tuple(b) for b in r.blocks]) for r in licenses.scan(spark.createDataFrame(rows, ROWS)).collect()}
+    whole, none = lambda word, label: (label, 1.0, [(word, label, 1.0)]), ("", 0.0, [])
+    want = {0: whole(0, "mit"), 1: whole(2, "bsd"), 2: whole(0, "mit"), 3: whole(0, "mit"), 4: none, 5: none, 6: none, 7: none, 8: whole(0, "mit")}
+    assert {i: got[i][:2] for i in got} == {i: want[i][:2] for i in want}
+    assert all(want[i][2] == [] or want[i][2][0] in got[i][2] for i in want)
+
+
 @pytest.mark.parametrize("operator", [quality.judge, jaccard_join.similar_components, suffix_dedup.repeated_spans, paragraphs.repeated_paragraphs, licenses.scan])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], ROWS)).collect() == []
