@@ -59,7 +59,7 @@ class Paragraphs:
     """Paragraphs of a run of documents: document, line, bytes, words, first shingle and number of shingles.  Only the
     first ones, which begin with a line, have bands."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, n_bands: int, enough: int, least: int, shingle: int, passage: int = 0):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, n_bands: int, enough: int, least: int, shingle: int, passage: int = 0, short: bool = False):
         words = C.words_of(data, offsets, C.WORD_SPACE, lower=True)
         self.h, first = C.window_hashes(words, shingle)
         breaks = np.sort(np.concatenate([np.flatnonzero(data == 10), offsets[1:-1] - 1]))
@@ -73,6 +73,8 @@ class Paragraphs:
         last = np.minimum(np.searchsorted(end, begin + enough), len(end) - 1)
         stop = np.minimum(end[last], words.first[doc + 1]) if len(begin) else begin
         keep = stop - begin >= np.where(stop == words.first[doc + 1], least, enough) if len(begin) else np.zeros(0, bool)
+        if short and len(begin):
+            keep |= (begin == words.first[doc]) & (stop == words.first[doc + 1]) & (stop - begin >= shingle)
         begin_all, begin, stop, self.doc = begin, begin[keep], stop[keep], doc[keep]
         n_lines = len(begin)
         if passage:
@@ -82,16 +84,26 @@ class Paragraphs:
             other = ~np.isin(inside, begin[stop - begin == enough])  # a line's own window is there already
             begin, stop = np.append(begin, inside[other]), np.append(stop, inside[other] + enough)
             self.doc = np.append(self.doc, doc[other])
+        n_long = len(begin)
+        if short:  # too short for a shingle: the words in order
+            few = np.flatnonzero((np.diff(words.first) > 0) & (np.diff(words.first) < shingle))
+            begin, stop = np.append(begin, words.first[few]), np.append(stop, words.first[few + 1])
+            self.doc = np.append(self.doc, few)
         before = np.searchsorted(begin_all, begin, side="right") - 1  # lines with words before it in the run
         self.line = before - np.searchsorted(begin_all, words.first[self.doc])
         self.start = words.starts[begin] - offsets[self.doc]
         self.n_bytes = words.ends[stop - 1] - words.starts[begin]
         self.n_words = stop - begin
         self.low = begin - words.first[self.doc] + first[self.doc]
-        self.high = self.low + self.n_words - (shingle - 1)
+        self.high = np.maximum(self.low + self.n_words - (shingle - 1), self.low)
         sums = np.zeros(len(self.h) + 1, U64)
         np.cumsum(self.h, out=sums[1:])
         self.node = C.mix(sums[self.high] - sums[self.low] + self.n_words.astype(U64) * U64(C.BASE)).view(np.int64)
+        value = np.zeros(len(begin) - n_long, U64)
+        for k in range(shingle - 1):
+            here = np.flatnonzero(self.n_words[n_long:] > k)
+            value[here] = C.mix(value[here] * U64(C.BASE) + words.hashes[begin[n_long:][here] + k])
+        self.node[n_long:] = value.view(np.int64)
         self.bands = np.empty((n_lines, n_bands), U64)
         if n_lines:
             padded = np.append(self.h, U64(0))
@@ -115,7 +127,7 @@ OUT_DDL = "kind int, doc_id long, n long, keys binary, docs binary"
 PLACE = np.dtype([("node", "<i8"), ("doc", "<i8"), ("line", "<i8"), ("start", "<i8"), ("n_bytes", "<i8"), ("n_words", "<i8")])
 
 
-def _candidates(docs: DataFrame, total: int, n_bands: int, enough: int, least_words: int, shingle: int, passage: int) -> DataFrame:
+def _candidates(docs: DataFrame, total: int, n_bands: int, enough: int, least_words: int, shingle: int, passage: int, short: bool) -> DataFrame:
     least = C.shuffle_partitions(docs.sparkSession)
     n_buckets = int(max(total / C.BUCKET_BYTES, least))
     parts = keycount.parts_for(total, least)
@@ -123,7 +135,7 @@ def _candidates(docs: DataFrame, total: int, n_bands: int, enough: int, least_wo
 
     def runs(t: pa.Table) -> tuple[np.ndarray, list[tuple[int, Paragraphs]]]:
         data, offsets = C.text_buffers(t["text"])
-        return C.ids_of(t["doc_id"]), [(a, Paragraphs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n_bands, enough, least_words, shingle, passage)) for a, b in C.doc_runs(offsets)]
+        return C.ids_of(t["doc_id"]), [(a, Paragraphs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n_bands, enough, least_words, shingle, passage, short)) for a, b in C.doc_runs(offsets)]
 
     def keys_of(p: Paragraphs) -> np.ndarray:
         return np.concatenate([p.node.view(U64), p.bands.ravel()])
@@ -200,17 +212,20 @@ def _places(rows: DataFrame) -> DataFrame:
     return rows.where(f"kind = {OCCURRENCES}").select("keys").mapInArrow(run, "node long, doc long, line long, start long, n_bytes long, n_words long")
 
 
-def repeated_paragraphs(docs: DataFrame, num: int = 75, den: int = 100, recall: float = 0.998, enough: int = 30, least_words: int = 20, shingle: int = 5, passage: int = 0) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, num: int = 75, den: int = 100, recall: float = 0.998, enough: int = 30, least_words: int = 20, shingle: int = 5, passage: int = 0, short: bool = False) -> DataFrame:
     """(doc_id, line: among its document's lines that hold words, start, n_bytes, n_words, first_doc_id, first_line,
     removed): every paragraph whose cluster reaches into two documents or more, with the cluster's first paragraph.
     With ``passage``, windows inside lines as well: every passage of so many words that two documents share holds one.
 
-    Null, empty and short texts have no paragraphs.  Repetition inside one document alone is not reported.  A null id
+    With ``short``, a document of fewer words than ``least_words`` is one paragraph; under ``shingle`` words only equal
+    ones match.
+
+    Null and empty texts have no paragraphs, nor, without ``short``, have short ones.  Repetition inside one document alone is not reported.  A null id
     is one document, after all others; so are rows with one id.  No repetition, or an empty table: no rows."""
     docs = C.pick(docs, doc_id="doc_id", text="text")
     total = C.text_bytes(docs)
     files = C.files_for(total, 8e6)
-    rows = C.cut(_candidates(docs, total, bands(num / den, recall), enough, least_words, shingle, passage))
+    rows = C.cut(_candidates(docs, total, bands(num / den, recall), enough, least_words, shingle, passage, short))
     members = rows.where(f"kind = {MEMBERS}").dropDuplicates(["doc_id"])
     blocks = _unpack_blocks(rows).distinct()
     none = rows.where("false").select(F.col("doc_id").alias("a"), F.col("n").alias("b"))
@@ -226,4 +241,4 @@ def repeated_paragraphs(docs: DataFrame, num: int = 75, den: int = 100, recall:
 
 
 def op7_paragraph_minhash(spark, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=50)
+    return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=50, short=True)

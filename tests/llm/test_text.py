@@ -291,6 +291,14 @@ def test_paragraphs_inside_lines(spark):
         assert all(any(a + 30 <= e <= a + 50 for e in ends) for a in range(len(passage) - 49))
 
 
+def test_short_documents_are_paragraphs(spark):
+    near = [f"n{k}" for k in range(19)]
+    rows = [(0, "one"), (1, " ONE\n"), (2, "one two"), (3, "two one"), (4, "one\ntwo"), (5, "a b c d"), (6, "a b c d e"), (7, "A b c\nd e"), (8, " ".join(near)), (9, " ".join([*near[:-1], "x"])), (10, "alone is not repeated"), (11, "one"), (12, ""), (13, None), (14, "a b c d " + "z " * 20)]
+    got = {(r.doc_id, r.line, r.first_doc_id, r.n_words, r.removed) for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, ROWS), short=True).collect()}
+    groups = [(1, [0, 1, 11]), (2, [2, 4]), (5, [6, 7]), (19, [8, 9])]
+    assert got == {(i, 0, g[0], n, i != g[0]) for n, g in groups for i in g}
+
+
 def test_bands():
     for recall in (0.9, 0.99, 0.999):
         n = paragraphs.bands(0.75, recall)
