@@ -76,8 +76,9 @@ class ChunkTokenizer:
         """Ids of all texts, one after the other, and n + 1 bounds."""
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
             # the tokenizer lower-cases and splits letters from marks anyway; doing it first makes chunks repeat more.
+            # Only ASCII letters: others may end in a combining mark once lower-cased or composed, which joins the next mark.
             # Its special tokens are looked for in the raw text, so a text that may hold one is left alone
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([!-&(-/:-@\[-`{-~])", r"\1 \2")
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([!-&(-/:-@\[-`{-~])", r"\1 \2")
         spaced = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         chunks = spaced.values.dictionary_encode() if not isinstance(spaced.values, pa.ChunkedArray) else spaced.values.combine_chunks().dictionary_encode()
         ids = self._ids(chunks.dictionary.to_pylist())

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -171,6 +173,54 @@ def test_lzw(size, n):
         assert gif.lzw_decode(stream, size, n) == data
 
 
+def lzw_with_clears(data: bytes, min_size: int, every: int) -> bytes:
+    """A textbook encoder that clears its table after every so many codes, as other encoders may."""
+    clear, end = 1 << min_size, (1 << min_size) + 1
+    value = bits = 0
+    width, table, free = min_size + 1, {bytes([i]): i for i in range(clear)}, clear + 2
+
+    def emit(code: int) -> None:
+        nonlocal value, bits
+        value |= code << bits
+        bits += width
+
+    emit(clear)
+    held, since = b"", 0
+    for b in data:
+        if held + bytes([b]) in table:
+            held += bytes([b])
+            continue
+        emit(table[held])
+        since += 1
+        if since == every:
+            if free < 4096 and free + 1 > 1 << width:
+                width = min(width + 1, 12)
+            emit(clear)
+            width, table, free, since = min_size + 1, {bytes([i]): i for i in range(clear)}, clear + 2, 0
+        elif free < 4096:
+            table[held + bytes([b])] = free
+            free += 1
+            if free > 1 << width and width < 12:
+                width += 1
+        held = bytes([b])
+    if held:
+        emit(table[held])
+        if free < 4096 and free + 1 > 1 << width:
+            width = min(width + 1, 12)
+    emit(end)
+    return value.to_bytes((bits + 7) // 8, "little")
+
+
+@pytest.mark.parametrize("every", [1, 2, 50, 254, 300, 1000, 3000, 5000])
+def test_lzw_with_early_clear_codes(every):
+    rng = random.Random(every)
+    for size, n in ((8, 20_000), (2, 3_000), (4, 9_000)):
+        data = bytes(rng.randrange(1 << size) for _ in range(n))
+        stream = lzw_with_clears(data, size, every)
+        assert textbook_lzw(stream, size) == data
+        assert gif.lzw_decode(stream, size, n) == data
+
+
 def test_lzw_damage():
     stream = gif.lzw_encode(bytes(range(200)), 8)
     with pytest.raises(gif.GifError):
@@ -229,6 +279,8 @@ def test_text_media(spark):
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
     assert len({r.media_sha256 for r in got if r.doc_id in (3, 5)}) == 1
     for r in got:
+        screens = [x for _, _, x in gif.composed(gif.decode(bytes(r.media)))]
+        assert r.histogram == np.sum([gif.histogram(x, gif.BINS) for x in screens], axis=0).tolist()
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and sum(r.histogram) == r.payload_bytes
     frames = gif.frames(spark.createDataFrame([(1, bytearray(got[3].media)), (2, None)], "id long, media binary")).collect()
     assert len(frames) == got[3].n_frames and [f.time_cs for f in sorted(frames, key=lambda f: f.frame)] == [10 * k for k in range(len(frames))]
@@ -281,6 +333,25 @@ def test_packing(spark, small):
     assert len(rows) <= -(-sum(r.length for r in got) // 4096) * 1.05 + 1
 
 
+def test_tokens_of_letters_with_marks():
+    """Every letter that changes when it is composed or lower-cased, and a spread of others, beside every ASCII mark."""
+    from tokenizers import Tokenizer
+
+    path = __import__("public_tokenizers").path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.ChunkTokenizer(path)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    changing = [c for c in letters if len(c.lower()) > 1 or unicodedata.normalize("NFC", c) != c]
+    assert "\u0130" in changing and "\u0958" in changing
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    texts = ["".join(f"{a}{c}{b}{m}{c} {m}{c}" for m in marks) for c in changing + letters[::40] for a, b in (("", ""), ("e", "e"))]
+    alphabet = [*"aE .,'-<|\n\tsS1\u0301\u0307\u0338", *changing]
+    rng = random.Random(4)
+    texts += ["".join(rng.choices(alphabet, k=rng.randrange(30))) for _ in range(4000)]
+    ids, bounds = encoder.encode(pa.array(texts))
+    for k, e in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == e.ids, texts[k]
+
+
 def test_packing_in_rounds(spark):
     """Many slices; also lengths that cannot share a sequence, where merging has to stop."""
     for lengths, most in (([1 + i * 31 % 90 for i in range(2000)], 1.08), ([60] * 500, 1.7)):
