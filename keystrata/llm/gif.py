@@ -23,6 +23,7 @@ from . import common as C
 UNIT = 576
 WIDTH = 24
 ROWS = 240
+BINS = 8
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 
 
@@ -121,6 +122,7 @@ def lzw_decode(stream: bytes, min_size: int, n: int) -> bytes:
         codes = _codes(bits, at + plan_at[:count], plan[:count])
         stop = np.flatnonzero((codes == clear) | (codes == end))
         used = int(stop[0]) if len(stop) else count
+        width = int(plan[used]) if len(stop) else 12  # of the code that stops this run
         previous = b""
         del table[clear + 2 :]
         previous, made = _expand(codes[:used].tolist(), table, out, previous, made, n, clear)
@@ -138,7 +140,7 @@ def lzw_decode(stream: bytes, min_size: int, n: int) -> bytes:
         if not len(stop):
             break
         finished = codes[used] == end
-        at += int(plan[used]) if not steady or at < plan_at[-1] else 12
+        at += width
     data = b"".join(out)
     if len(data) < n:
         raise GifError(f"{len(data)} of {n} samples")
@@ -302,9 +304,13 @@ def composed(gif: Gif) -> Iterator[tuple[int, Frame, np.ndarray]]:
             if part.max() >= len(palette):
                 raise GifError("an index beyond the palette")
             target = screen[f.top : f.top + h, f.left : f.left + w]
-            drawn = np.ones(part.shape, bool) if f.transparent is None else part != f.transparent
-            target[..., :3][drawn] = palette[part[drawn]]
-            target[..., 3][drawn] = 255
+            if f.transparent is None:
+                target[..., :3] = palette[part]
+                target[..., 3] = 255
+            else:
+                drawn = part != f.transparent
+                target[..., :3][drawn] = palette[part[drawn]]
+                target[..., 3][drawn] = 255
         yield time, f, screen.copy()
         time += f.delay
         if f.disposal == 2:
@@ -351,18 +357,23 @@ def padded(text: bytes, unit: int = UNIT) -> bytes:
 
 def payload_gif(payload: bytes) -> bytes:
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    parts = [Frame(pixels[at : at + ROWS], delay=10, disposal=1) for at in range(0, len(pixels), ROWS)]
+    parts = [Frame(pixels[at : at + ROWS], delay=10, disposal=2) for at in range(0, len(pixels), ROWS)]
     return encode(Gif(WIDTH, min(ROWS, len(pixels)), GREY, 0, parts))
 
 
+def samples(f: Frame, screen: np.ndarray) -> bytes:
+    """Grey samples of a shown frame: its own rectangle of the screen."""
+    return screen[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1], 0].tobytes()
+
+
 def payload_of(gif: Gif) -> bytes:
-    """Samples of the frames as they are shown, each frame's own rectangle."""
-    return b"".join(screen[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1], 0].tobytes() for _, f, screen in composed(gif))
+    """Samples of the frames as they are shown."""
+    return b"".join(samples(f, screen) for _, f, screen in composed(gif))
 
 
 def text_media(docs: DataFrame, keep: bool = True) -> DataFrame:
     """docs (doc_id, text) stored as GIFs and read back: sizes and digests of payload and media, frames, length in
-    time, a grey histogram of eight bins, and the media itself if keep.
+    time, the colour histogram (``BINS`` to a channel) of all frames as they are shown, and the media itself if keep.
 
     A null text is an empty one; equal texts give equal rows but for the id; rows with one id are stored each on its
     own; an empty table gives no rows."""
@@ -377,9 +388,11 @@ def text_media(docs: DataFrame, keep: bool = True) -> DataFrame:
                 for i in range(a, b):
                     text = raw[offsets[i] : offsets[i + 1]]
                     media = payload_gif(padded(text))
-                    gif = decode(media)
-                    payload = payload_of(gif)
-                    grey = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=8)
+                    gif, parts, colours = decode(media), [], np.zeros(BINS**3, np.int64)
+                    for _, f, screen in composed(gif):
+                        parts.append(samples(f, screen))
+                        colours += histogram(screen, BINS)
+                    payload = b"".join(parts)
                     rows["doc_id"].append(batch.column(0)[i].as_py())
                     rows["n_bytes"].append(len(text))
                     rows["payload_bytes"].append(len(payload))
@@ -389,7 +402,7 @@ def text_media(docs: DataFrame, keep: bool = True) -> DataFrame:
                     rows["media_sha256"].append(hashlib.sha256(media).hexdigest())
                     rows["n_frames"].append(len(gif.frames))
                     rows["length_cs"].append(sum(f.delay for f in gif.frames))
-                    rows["histogram"].append(grey.tolist())
+                    rows["histogram"].append(colours)
                     rows["media"].append(media if keep else None)
                 yield pa.RecordBatch.from_pydict(rows, schema)
             C.trim()
@@ -404,5 +417,6 @@ def text_media(docs: DataFrame, keep: bool = True) -> DataFrame:
 
 def op5_gif_media(spark, sf_dir: str) -> DataFrame:
     rows = text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False)
-    feature = "concat_ws(';', concat('frames=', n_frames), concat('cs=', length_cs), concat('grey=', concat_ws(',', transform(histogram, x -> cast(x as string))))) AS feature"
+    filled = "filter(transform(histogram, (n, i) -> IF(n > 0, concat(i, ':', n), NULL)), x -> x IS NOT NULL)"
+    feature = f"concat_ws(';', concat('frames=', n_frames), concat('cs=', length_cs), concat('colours=', concat_ws(',', {filled}))) AS feature"
     return rows.selectExpr("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
