@@ -1,10 +1,14 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes windows of at most ``budget`` tokens.  Prefix sums of the turns' tokens choose for each window
-the longest run of turns that still fits; the system turn, if the conversation starts with one, stands first in every
-window, and up to ``history`` turns before the run are repeated as far as they fit in half of the budget.  Only text of
-assistant turns that appear for the first time is under the loss mask; repeated turns are not.  A turn that alone is
-longer than the budget has a window of its own, whole: turns are never cut.
+A conversation becomes windows of at most ``budget`` tokens, marks and escapes included; a mark and a text are encoded
+each on its own.  Prefix sums of the turns' tokens choose for each window the longest run of turns that still fits; the
+system turn, if the conversation starts with one, stands first in every window, and up to ``history`` turns before the
+run are repeated as far as they fit in half of the budget.  Only text of assistant turns that appear for the first time
+is under the loss mask; repeated turns are not.
+
+Turns are never cut.  A turn that alone is longer than the budget has a window of its own, whole, with nothing repeated:
+no other window is over the budget.  A system turn of more than half of the budget is not repeated, nor is one beside a
+turn that fits only without it.
 
 The template marks turns with control strings and escapes those inside texts reversibly: a backslash is put before any
 backslash and before ``<`` and ``[``, so that ``</s>`` or ``[INST]`` inside a text cannot be taken for a mark.
@@ -63,18 +67,21 @@ class Window:
     tokens: int = 0
 
 
-def _render(turns: list[tuple[Turn, bool]]) -> Window:
+def _render(turns: list[tuple[Turn, bool]], tokens: int) -> Window:
     """turns: with whether each appears for the first time."""
     parts, spans, at = [BEGIN], [], len(BEGIN)
     for turn, fresh in turns:
-        mark = MARKS.get(turn.role) or OTHER + escape(turn.role) + "[/ROLE]"
-        head = ("" if fresh else REPEATED) + mark
+        head = ("" if fresh else REPEATED) + mark_of(turn.role)
         body = escape(turn.text)
         if fresh and turn.role == "assistant":
             spans.append((at + len(head), at + len(head) + len(body)))
         parts += [head, body, END_OF_TURN]
         at += len(head) + len(body) + len(END_OF_TURN)
-    return Window("".join(parts), spans, sum(t.tokens for t, _ in turns))
+    return Window("".join(parts), spans, tokens)
+
+
+def mark_of(role: str) -> str:
+    return MARKS.get(role) or OTHER + escape(role) + "[/ROLE]"
 
 
 def parse(text: str) -> list[tuple[str, str, bool]]:
@@ -92,49 +99,43 @@ def parse(text: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def windows(turns: Iterator[Turn], budget: int, history: int) -> Iterator[Window]:
-    """Windows over a stream of turns."""
+def windows(turns: Iterator[Turn], budget: int, history: int, begin: int = 0, again: int = 0) -> Iterator[Window]:
+    """Windows over a stream of turns; ``begin`` tokens open a window, ``again`` more mark a repeated turn."""
     system: Turn | None = None
     past: list[Turn] = []  # the last turns of earlier windows
     run: list[tuple[Turn, bool]] = []
-    sums = [0]  # prefix sums of the run's tokens
-    first = True
-
-    def opened() -> tuple[list[tuple[Turn, bool]], list[int]]:
-        head = [(system, False)] if system else []
-        room, repeat = budget // 2 - sum(t.tokens for t, _ in head), []
+    sums = [begin]  # prefix sums of the run's tokens
+    fresh, first = 0, True
+
+    def opened(turn: Turn) -> list[tuple[Turn, bool]]:
+        """What is repeated before ``turn``, which opens a window."""
+        room, half, head, repeat = budget - begin - turn.tokens, budget // 2 - begin, [], []
+        if system and system.tokens + again <= min(room, half):
+            head = [(system, False)]
+            room, half = room - system.tokens - again, half - system.tokens - again
         for t in reversed(past):
-            if t.tokens > room:
+            if t.tokens + again > min(room, half):
                 break
             repeat.insert(0, (t, False))
-            room -= t.tokens
-        head += repeat
-        total = [0]
-        for t, _ in head:
-            total.append(total[-1] + t.tokens)
-        return head, total
-
-    fresh_turns = 0
+            room, half = room - t.tokens - again, half - t.tokens - again
+        return head + repeat
+
     for turn in turns:
-        if fresh_turns and sums[-1] + turn.tokens > budget:
-            yield _render(run)
-            run, sums = opened()
-            fresh_turns = 0
-            while len(run) > bool(system) and sums[-1] + turn.tokens > budget:  # new turns go before repeated ones
-                run.pop(int(bool(system)))
-                sums = [0]
-                for t, _ in run:
-                    sums.append(sums[-1] + t.tokens)
+        if fresh and sums[-1] + turn.tokens > budget:
+            yield _render(run, sums[-1])
+            run, sums, fresh = opened(turn), [begin], 0
+            for t, _ in run:
+                sums.append(sums[-1] + t.tokens + again)
         run.append((turn, True))
         sums.append(sums[-1] + turn.tokens)
-        fresh_turns += 1
+        fresh += 1
         if first and turn.role == "system":
             system = turn
         else:
             past = (past + [turn])[-history:] if history else []
         first = False
-    if fresh_turns:
-        yield _render(run)
+    if fresh:
+        yield _render(run, sums[-1])
 
 
 @functools.cache
@@ -149,19 +150,35 @@ def _counter(name: str):
     return lambda text: len(coder.encode_ordinary(text))
 
 
+class Costs:
+    """Tokens of turns as they are written."""
+
+    def __init__(self, count):
+        self.count = count
+        self.begin, self.again, self.end = (count(x) for x in (BEGIN, REPEATED, END_OF_TURN))
+        self.marks = {role: count(mark) for role, mark in MARKS.items()}
+
+    def turn(self, role: str, text: str) -> Turn:
+        mark = self.marks[role] if role in self.marks else self.count(mark_of(role))
+        return Turn(role, text, mark + self.count(escape(text)) + self.end)
+
+    def windows(self, turns: Iterator[Turn], budget: int, history: int) -> Iterator[Window]:
+        return windows(turns, budget, history, self.begin, self.again)
+
+
 def _ordered(conversations: DataFrame) -> DataFrame:
     rows = C.pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text")
     rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _streams(batches: Iterator[pa.RecordBatch], count) -> Iterator[tuple[int | None, Iterator[Turn]]]:
+def _streams(batches: Iterator[pa.RecordBatch], costs: Costs) -> Iterator[tuple[int | None, Iterator[Turn]]]:
     """(conversation, its turns) of rows in order; each stream must be read before the next."""
 
     def rows():
         for batch in batches:
             for c, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                yield c, Turn(role, text, count(text))
+                yield c, costs.turn(role, text)
 
     source = rows()
     held = next(source, None)
@@ -184,8 +201,9 @@ def chat_windows(conversations: DataFrame, budget: int = 1024, history: int = 2,
     name; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for conv, turns in _streams(batches, _counter(tokenizer)):
-            for k, w in enumerate(windows(turns, budget, history)):
+        costs = Costs(_counter(tokenizer))
+        for conv, turns in _streams(batches, costs):
+            for k, w in enumerate(costs.windows(turns, budget, history)):
                 yield pa.RecordBatch.from_pylist([{"conv_id": conv, "window": k, "text": w.text, "loss_starts": [a for a, _ in w.spans], "loss_ends": [b for _, b in w.spans], "tokens": w.tokens}], schema)
 
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("loss_starts", pa.list_(pa.int32())), ("loss_ends", pa.list_(pa.int32())), ("tokens", pa.int32())])
@@ -196,11 +214,11 @@ def chat_digests(conversations: DataFrame, budget: int = 1024, history: int = 2,
     """For each conversation what its windows hold, read back from the formatted text and its loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = {f.name: [] for f in schema}
-        for conv, turns in _streams(batches, _counter(tokenizer)):
+        out, costs = {f.name: [] for f in schema}, Costs(_counter(tokenizer))
+        for conv, turns in _streams(batches, costs):
             said, learnt = hashlib.sha256(), hashlib.sha256()
             n_turns = loss_chars = formatted = n_windows = 0
-            for w in windows(turns, budget, history):
+            for w in costs.windows(turns, budget, history):
                 n_windows += 1
                 formatted += len(w.text)
                 for role, text, fresh in parse(w.text):

@@ -370,19 +370,38 @@ tricky = st.text(alphabet="ab\\<[/]s>INSTR\n é", max_size=30)
 @given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "tool", "", "[INST]\\"]), tricky, st.integers(0, 60)), max_size=14), st.integers(0, 3))
 def test_windows(rows, history):
     turns = [chat.Turn(r, t, n) for r, t, n in rows]
-    got = list(chat.windows(iter(turns), 100, history))
+    got = list(chat.windows(iter(turns), 100, history, 3, 2))
     parsed = [chat.parse(w.text) for w in got]
     assert [(r, t) for w in parsed for r, t, fresh in w if fresh] == [(r, t) for r, t, _ in rows]
     learnt = [chat.unescape(w.text[a:b]) for w in got for a, b in w.spans]
     assert learnt == [t for r, t, _ in rows if r == "assistant"]
+    place = 0
     for k, (w, p) in enumerate(zip(got, parsed, strict=True)):
         fresh = sum(f for *_, f in p)
-        system = rows[0][2] if rows[0][0] == "system" and k else 0
-        assert fresh >= 1
-        assert w.tokens <= 100 or fresh == 1 and len(p) - 1 <= (k > 0 and rows[0][0] == "system") or system > 100
-        if k and rows[0][0] == "system":
-            assert p[0] == ("system", rows[0][1], False)
-        assert sum(not f for *_, f in p) <= history + (rows[0][0] == "system")
+        own = [n for *_, n in rows[place : place + fresh]]
+        system = rows[0] if rows[0][0] == "system" and k else None
+        assert fresh >= 1 and [f for *_, f in p] == [False] * (len(p) - fresh) + [True] * fresh
+        assert w.tokens <= 100 or len(p) == 1
+        if place + fresh < len(rows):  # the next turn had no room
+            assert w.tokens + rows[place + fresh][2] > 100
+        if system and system[2] + 2 <= min(50, 100 - own[0]) - 3:
+            assert p[0] == ("system", system[1], False)
+        assert sum(not f for *_, f in p) <= history + bool(system)
+        place += fresh
+
+
+def test_windows_keep_to_the_budget(spark):
+    """Tokens of the text as it is written, with long system turns and turns that need escapes."""
+    rng = random.Random(6)
+    rows = [(c, k, "system" if not k else ("user", "assistant")[k % 2], "say [so] <b> " * (rng.randrange(60) if k else c * 12)) for c in range(8) for k in range(12)]
+    count = chat._counter("byte_bpe_50k.tiktoken")
+    longest = {}
+    for w in chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=256).collect():
+        turns = chat.parse(w.text)
+        tokens = count(chat.BEGIN) + sum(count(chat.mark_of(r)) + count(chat.escape(t)) + count(chat.END_OF_TURN) + (not fresh) * count(chat.REPEATED) for r, t, fresh in turns)
+        assert w.tokens == tokens and (tokens <= 256 or len(turns) == 1)
+        longest[w.conv_id] = max(longest.get(w.conv_id, 0), tokens)
+    assert max(longest.values()) > 200
 
 
 @given(tricky)
