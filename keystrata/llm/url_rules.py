@@ -9,8 +9,10 @@ with fewer tokens is as good.  They match by an inverted index: a rule stands un
 the few rules that stand under its own tokens.  The best rule (confidence, support, tokens) gives the verdict; a URL
 that none fits is allowed.
 
-The miner sees at most ``max_labelled`` labelled URLs (a documented bound: the lowest hashes of their ids) and keeps
-at most ``max_rules`` rules, so the model that travels to the executors is bounded, whatever the number of pages.
+The miner sees about ``max_labelled`` labelled URLs (a documented bound: those whose ids have the lowest hashes).  Every
+rule it finds is pruned on the executors, and those that are left are all kept.  They cannot be many, however many pages
+there are: each holds in at least ``min_support`` of the baskets, and a basket of t tokens holds no more than
+t + t^2 / 2 + t^3 / 6 combinations, so there are at most that (its mean) divided by ``min_support``.
 """
 
 from __future__ import annotations
@@ -107,24 +109,33 @@ class MinedRule:
         return (self.confidence, self.support, -len(self.tokens), self.tokens)
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, max_labelled: int = 100_000, max_tokens: int = 3, max_rules: int = 2_000) -> tuple[MinedRule, ...]:
+def pruned(rules: DataFrame) -> DataFrame:
+    """rules (tokens, in order; verdict, confidence, ...) without those of which fewer tokens imply the same verdict
+    with at least the same confidence."""
+    # each number below 2^n - 1 names a part: its bits are the tokens that stay
+    part = "transform(sequence(1, shiftleft(1, size(tokens)) - 2), b -> filter(tokens, (t, k) -> (shiftright(b, k) & 1) = 1))"
+    parts = rules.where("size(tokens) > 1").select("tokens", "verdict", "confidence", F.explode(F.expr(part)).alias("part"))
+    smaller = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("least"))
+    worse = parts.join(smaller, ["part", "verdict"]).where("least >= confidence").select("tokens", "verdict").distinct()
+    return rules.join(worse, ["tokens", "verdict"], "left_anti")
+
+
+def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, max_labelled: int = 100_000, max_tokens: int = 3) -> tuple[MinedRule, ...]:
     """labelled: (id, tokens, label).  Rules whose tokens imply a label; none if nothing is labelled."""
-    sample = labelled.where("label IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    basket = C.cut(sample.select(F.array_append("tokens", F.concat(F.lit(LABEL), "label")).alias("items")))
+    known = labelled.where("label IS NOT NULL")
+    share = max_labelled / max(known.count(), 1)
+    if share < 1:
+        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    basket = C.cut(known.select(F.array_append("tokens", F.concat(F.lit(LABEL), "label")).alias("items")))
     if not basket.head(1):
         return ()
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(basket)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL)).where(F.size("antecedent") <= max_tokens)
     rules = rules.where(~F.exists("antecedent", lambda a: a.startswith(LABEL))).where("lift > 1.0")
-    best = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join(F.sort_array("antecedent"), " ")).limit(max_rules).collect()
-    kept: dict[tuple[str, tuple[str, ...]], MinedRule] = {}
-    for r in sorted(best, key=lambda r: (len(r.antecedent), sorted(r.antecedent))):
-        rule = MinedRule(tuple(sorted(r.antecedent)), r.consequent[0][len(LABEL) :], r.confidence, r.support, r.lift)
-        n = len(rule.tokens)
-        smaller = [tuple(t for k, t in enumerate(rule.tokens) if bits >> k & 1) for bits in range(1, (1 << n) - 1)]
-        if not any(s in kept and kept[s].confidence >= rule.confidence for s in ((rule.verdict, t) for t in smaller)):
-            kept[rule.verdict, rule.tokens] = rule
-    return tuple(sorted(kept.values(), key=MinedRule.rank, reverse=True))
+    verdict = F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 100).alias("verdict")
+    found = pruned(C.cut(rules.select(F.sort_array("antecedent").alias("tokens"), verdict, "confidence", "support", "lift")))
+    kept = [MinedRule(tuple(r.tokens), r.verdict, r.confidence, r.support, r.lift) for r in found.collect()]  # bounded as said above
+    return tuple(sorted(kept, key=MinedRule.rank, reverse=True))
 
 
 class RuleIndex:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import unicodedata
@@ -125,6 +127,55 @@ def test_mined_rules(spark):
     assert url_rules.mine(spark.createDataFrame([], "id long, tokens array<string>, label string")) == ()
 
 
+def brute_rules(baskets, min_support=0.005, min_confidence=0.8, most=3):
+    """Every combination of up to three tokens, counted."""
+    counts, labels = Counter(), Counter(label for _, label in baskets)
+    for found, label in baskets:
+        for n in range(1, most + 1):
+            for c in itertools.combinations(sorted(found), n):
+                counts[c] += 1
+                counts[c, label] += 1
+    n, least, rules = len(baskets), math.ceil(len(baskets) * min_support), {}
+    for label in labels:
+        for c in [c for c in counts if isinstance(c[0], str)]:
+            both = counts[c, label]
+            if both >= least and both / counts[c] >= min_confidence and both / counts[c] > labels[label] / n:
+                rules[c, label] = (both / counts[c], both / n)
+    keep = []
+    for (c, label), (confidence, support) in rules.items():
+        parts = [p for k in range(1, len(c)) for p in itertools.combinations(c, k)]
+        if not any((p, label) in rules and rules[p, label][0] >= confidence for p in parts):
+            keep.append((confidence, support, -len(c), c, label))
+    return sorted(keep, reverse=True)
+
+
+def test_verdicts_of_the_method(spark, small):
+    """Whole verdicts on pages: mined rules and matches against counting all combinations."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    pages = pages.union(pages.selectExpr("page_id + 10000", "replace(replace(url, '/en/', '/es/'), '.com', '.net')", "html"))
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    bad = {}
+    for r in labels.collect():
+        bad[r.doc_id] = bad.get(r.doc_id, False) or r.toxic == 1 or r.quality == 0
+    host, path = url_rules.host_and_path(url_rules.F.col("url"))
+    seen = {r.page_id: set(r.tokens) for r in pages.select("page_id", url_rules.tokens(host, path, url_rules.F.col("url")).alias("tokens")).collect()}
+    got = {r.page_id: r for r in url_rules.judge_urls(pages, labels).collect()}
+    baskets = []
+    for i, found in seen.items():
+        label = got[i].verdict if got[i].rule else {True: "block", False: "allow"}.get(bad.get(i))
+        if label:
+            baskets.append((found, label))
+    rules = brute_rules(baskets)
+    assert rules and any(r[4] == "block" for r in rules)
+    mined = 0
+    for i, found in seen.items():
+        if not got[i].rule:
+            fit = next((r for r in rules if set(r[3]) <= found), None)
+            assert (got[i].verdict, got[i].mined) == ((fit[4], " ".join(fit[3])) if fit else ("allow", None))
+            mined += fit is not None
+    assert mined
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.sets(st.sampled_from("abcdef"), min_size=1, max_size=3), st.sampled_from(["allow", "block"]), st.integers(1, 9)), max_size=12), st.sets(st.sampled_from("abcdefg")))
 def test_rule_index_equals_scan(rules, have):
