@@ -91,7 +91,35 @@ def test_quality(docs, rows):
 
 def test_quality_order_does_not_matter(docs):
     expected = {(r.doc_id, r.kept) for r in quality.judge(docs, quality.RULES).collect()}
-    assert {(r.doc_id, r.kept) for r in quality.judge(docs, tuple(reversed(quality.RULES)), all_stats=False).collect()} == expected
+    assert {(r.doc_id, r.kept) for r in quality.judge(docs, tuple(reversed(quality.RULES)), wanted=()).collect()} == expected
+
+
+def test_cascade_leaves_out_what_is_decided():
+    """The rule that comes first spares the others its documents."""
+    text = ["too few words", "fine " * 3 + " ".join(f"word{k}" for k in range(80)), None]
+    data, offsets = C.text_buffers(pa.array(text))
+    looked = []
+
+    def case(batch):
+        looked.append(len(batch))
+        return quality.case_stats(batch)
+
+    groups = quality.GROUPS | {"case": case}
+    rules = (quality.RULES[0], quality.RULES[-1])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "GROUPS", groups)
+        _, alive = quality.cascade(quality.Batch(data, offsets), rules)
+        assert alive.tolist() == [False, True, False] and looked == [1]
+        _, again = quality.cascade(quality.Batch(data, offsets), rules[::-1], ("length",))
+        assert again.tolist() == alive.tolist() and looked == [1, 3]
+
+
+def test_rule_order_is_by_rejections_per_cost(spark):
+    docs = spark.createDataFrame([(i, "#### " * 90 if i % 5 else " ".join(f"w{k}" for k in range(90))) for i in range(400)], ROWS).repartition(13)
+    order = [r.name for r in quality.rule_order(docs)]
+    assert sorted(order) == sorted(r.name for r in quality.RULES)
+    assert order[-1] in ("few_words", "shouting", "word_length", "dup_lines") and order.index("symbols") < 2
+    assert quality.rule_order(docs.where("false")) == quality.RULES
 
 
 def test_quality_keeps_all_columns(docs):
