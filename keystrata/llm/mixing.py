@@ -10,50 +10,72 @@ undecided rest of a group goes on to the next round, where groups of one source
 source is one group.  Flights leave a few documents of every size alone; with the last two undecided ones they are the
 landing problem, at most 66 documents a source, which go from large to small and each bring the words nearer to the
 target.
+
+Sources may be as many as they like: their order, weights and targets are DataFrames.
 """
 
 from __future__ import annotations
 
 import hashlib
 import random
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import placed
 from . import common as C
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
 
 
-def water_fill(sizes: list[int], weights: list[float], cap: float) -> list[float]:
-    """Targets that share sum(sizes) by weight, none above cap times its size; the excess goes to the others by
-    weight, again and again.  If all reach the cap, the sum does."""
-    total = sum(sizes)
-    capped = [False] * len(sizes)
+@dataclass
+class Targets:
+    """(source, rows, source_size, target) of each source; how many sources and rows there are, and rows of the largest."""
+
+    table: DataFrame
+    sources: int
+    rows: int
+    most: int
+
+    def joined(self, rows: DataFrame, small: int = 100_000, share: int = 1000) -> DataFrame:
+        """rows (with a source) and their source's columns.
+
+        Up to ``small`` sources are broadcast.  Of more, those that hold a thousandth of all rows or more (a thousand of
+        them at most) are; the others have no hot key and are joined by a shuffle."""
+        own = self.table.withColumnRenamed("source", "_source")
+        same = F.col("source").eqNullSafe(F.col("_source"))
+        if self.sources <= small:
+            return rows.join(F.broadcast(own), same).drop("_source")
+        is_hot = F.col("rows") * share >= self.rows
+        hot = F.broadcast(own.where(is_hot))
+        cold = rows.join(hot, same, "left_anti").join(own.where(~is_hot), same)
+        return rows.join(hot, same).unionByName(cold).drop("_source")
+
+
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> Targets:
+    """Targets of sources by code point, null last; weights repeat in that order.
+
+    All sizes are shared by weight, no source getting more than ``cap`` times its own; the excess goes to the others by
+    weight, again and again: each round is one aggregate, and its sums are whole numbers, so reruns agree."""
+    own = C.cut(sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")), 8)
+    named = placed(own.where("source IS NOT NULL"), "source")
+    last = own.where("source IS NULL").withColumn("place", F.lit(own.count()).cast("long"))  # of distinct sources
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    table = C.cut(named.unionByName(last).select("source", "rows", "source_size", weight.alias("weight")), 8)
+    sums = table.agg(F.count("*").alias("sources"), F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level, capped = (sums["size"] or 0) / (sums.weight or 1), 0
     while True:
-        free = [i for i, c in enumerate(capped) if not c]
-        weight = sum(weights[i] for i in free)
-        rest = total - sum(cap * sizes[i] for i, c in enumerate(capped) if c)
-        level = rest / weight if weight else 0.0
-        over = [i for i in free if weights[i] * level > cap * sizes[i]]
-        if not over:
-            return [cap * sizes[i] if c else weights[i] * level for i, c in enumerate(capped)]
-        for i in over:
-            capped[i] = True
-
-
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, max_sources: int = 200_000) -> list[tuple[str | None, int, float]]:
-    """(source, size, target) by code point, null last; weights repeat in that order.  The driver holds one row a
-    source and refuses more than ``max_sources`` of them: what is mixed by weight is a list that people keep."""
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    rows.sort(key=lambda r: (r.source is None, r.source or ""))
-    targets = water_fill([r.size for r in rows], [weights[i % len(weights)] for i in range(len(rows))], cap)
-    return [(r.source, r.size, t) for r, t in zip(rows, targets, strict=True)]
+        full = F.col("weight") * F.lit(level) > cap * F.col("source_size")
+        now = table.where(full).agg(F.count("*").alias("n"), F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+        if now.n in (capped, sums.sources):
+            break
+        level, capped = (sums["size"] - cap * now["size"]) / (sums.weight - now.weight), now.n
+    target = F.when(full, cap * F.col("source_size")).otherwise(F.col("weight") * F.lit(level))
+    return Targets(table.select("source", "rows", "source_size", target.cast("double").alias("target")), sums.sources, sums.rows or 0, sums.most or 0)
 
 
 def flight(sizes: np.ndarray, chance: np.ndarray, rng: random.Random) -> tuple[np.ndarray, list[int]]:
@@ -111,8 +133,8 @@ def reserved(fractional: np.ndarray, last: bool) -> np.ndarray:
     return np.unique(fractional[[n // 2, 3 * n // 4, 9 * n // 10, n - 1]]) if n >= 16 else fractional[:0]
 
 
-_COLUMNS = ["doc_id", "source", "row", "size", "whole", "chance", "slice", "open"]
-_ROUND = "doc_id long, source string, row long, size long, whole long, chance double, slice int, open boolean"
+_COLUMNS = ["doc_id", "source", "row", "size", "source_size", "target", "whole", "chance", "slice", "open"]
+_ROUND = "doc_id long, source string, row long, size long, source_size long, target double, whole long, chance double, slice int, open boolean"
 
 
 def _round(rows: DataFrame, seed: int, last: bool) -> DataFrame:
@@ -139,27 +161,26 @@ def _round(rows: DataFrame, seed: int, last: bool) -> DataFrame:
     return rows.groupBy("source", "slice").applyInArrow(fly, _ROUND)
 
 
-def draw(documents: DataFrame, targets: list[tuple[str | None, int, float]], seed: int = 17, slice_rows: int = 2_000) -> DataFrame:
-    """documents (doc_id, source, size) with ``taken``, the times each is taken.  Rows with the same id and size are
-    told apart by their number among those that are alike in all three columns."""
-    spark = documents.sparkSession
-    ratio = spark.createDataFrame([(s, t / n if n else 0.0) for s, n, t in targets] or [(None, 0.0)], "source string, ratio double")
-    ratio = F.broadcast(ratio)  # a row a source, no more than max_sources
-    joined = documents.join(ratio, documents.source.eqNullSafe(ratio.source)).select(documents.doc_id, documents.source, "size", "ratio")
+def draw(documents: DataFrame, targets: Targets, seed: int = 17, slice_rows: int = 2_000) -> DataFrame:
+    """documents (doc_id, source, size) with their source's size and target and ``times``, how often each is taken.
+    Rows with the same id and size are told apart by their number among those that are alike in all three columns."""
     # alike rows share a probability; each of them is one sampling unit
-    alike = joined.groupBy("doc_id", "source", "size", "ratio").agg(F.count("*").alias("times"))
-    units = alike.select("doc_id", "source", "size", "ratio", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("row"))
-    whole = F.floor(F.col("ratio") + EPS)
-    files = C.files_for(documents.count(), 100_000)
-    units = C.cut(units.withColumn("whole", whole.cast("long")).withColumn("chance", F.greatest(F.col("ratio") - whole, F.lit(0.0))), files)
-    counts = {r.source: r.n for r in units.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row a source
-    slices = {s: max(1, -(-n // slice_rows)) for s, n in counts.items()}
-    per = spark.createDataFrame([(s, n) for s, n in slices.items()] or [(None, 1)], "source string, slices int")
-    slice_of = F.pmod(F.xxhash64("doc_id", "row"), "slices").cast("int").alias("slice")
-    rows = units.join(F.broadcast(per), units.source.eqNullSafe(per.source)).select("doc_id", units.source, "row", "size", "whole", "chance", slice_of, F.lit(True).alias("open"))
-    decided, most, turn = None, max(slices.values(), default=1), 0
+    alike = targets.joined(documents).groupBy("doc_id", "source", "size", "source_size", "target", "rows").agg(F.count("*").alias("times"))
+    units = alike.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(ratio + EPS).cast("long")
+    slices = F.ceil(F.col("rows") / slice_rows)
+    files = C.files_for(targets.rows, 100_000)
+    rows = C.cut(
+        units.select(
+            "doc_id", "source", "row", "size", "source_size", "target", whole.alias("whole"), F.greatest(ratio - whole, F.lit(0.0)).alias("chance"),
+            F.pmod(F.xxhash64("doc_id", "row"), slices).cast("int").alias("slice"), F.lit(True).alias("open"),
+        ),
+        files,
+    )
+    decided, most, turn = None, -(-targets.most // slice_rows), 0
     while True:
-        last = most == 1
+        last = most <= 1
         done = C.cut(_round(rows, seed + turn, last), files)
         closed = done.where("NOT open")
         decided = closed if decided is None else decided.union(closed)
@@ -167,7 +188,11 @@ def draw(documents: DataFrame, targets: list[tuple[str | None, int, float]], see
             break
         rows = done.where("open").withColumn("slice", F.floor(F.col("slice") / 64).cast("int"))
         most, turn = -(-most // 64), turn + 1
-    return decided.select("doc_id", "source", "size", (F.col("whole") + F.round("chance").cast("long")).alias("times"))
+    return decided.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("chance").cast("long")).alias("times"))
+
+
+def word_count(text) -> F.Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17) -> DataFrame:
@@ -177,12 +202,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     Rows with one id are drawn each on its own.  An empty table gives no rows.  The same rows and seed give the same
     draw, in whatever order or partitions they come."""
     docs = C.pick(docs, doc_id="doc_id", text="text", source="source")
-    sized = C.cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    targets = source_targets(sized, weights, cap)
-    spark = docs.sparkSession
-    known = spark.createDataFrame(targets or [(None, 0, 0.0)], "source string, source_size long, target double")
-    drawn = draw(sized, targets, seed)
-    return drawn.join(F.broadcast(known), drawn.source.eqNullSafe(known.source)).select("doc_id", drawn.source, "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    sized = C.cut(docs.select("doc_id", "source", word_count("text").alias("size")))
+    return draw(sized, source_targets(sized, weights, cap), seed).withColumn("taken", F.col("times") * F.col("size"))
 
 
 def op1_cube_mixing(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .jaccard_join import similar_components
-from .mixing import mix
+from .mixing import mix, word_count
 from .packing import pack_documents
 from .quality import keep
 from .suffix_dedup import without_repeats
@@ -54,14 +54,15 @@ def substring_stage(docs: DataFrame) -> DataFrame:
 
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
-    """Documents as often as the mix takes them.  What was drawn for several rows with one id and source is dealt out
-    among them."""
-    drawn = mix(docs).groupBy("doc_id", "source").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
+    """Documents as often as the mix takes them.  What was drawn for several rows with one id, source and number of
+    words is dealt out among them, so the words taken are those drawn."""
+    drawn = mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
     plain, names = _keyed(docs)
-    key, source = f"_{docs.columns.index('doc_id')}", f"_{docs.columns.index('source')}"
-    joined = plain.join(drawn, _id(docs).eqNullSafe(drawn.doc_id) & F.col(source).eqNullSafe(drawn.source)).select(*names, "_times", "_rows")
-    alone = joined.where("_rows = 1").drop("_rows")
-    place = F.row_number().over(Window.partitionBy(key, source).orderBy(f"_{docs.columns.index('text')}"))
+    key, source, text = (F.col(f"_{docs.columns.index(c)}") for c in ("doc_id", "source", "text"))
+    same = key.eqNullSafe(drawn.doc_id) & source.eqNullSafe(drawn.source) & (F.col("_size") == drawn["size"])
+    joined = plain.withColumn("_size", word_count(text)).join(drawn, same).select(*names, "_size", "_times", "_rows")
+    alone = joined.where("_rows = 1").select(*names, "_times")
+    place = F.row_number().over(Window.partitionBy(key, source, "_size").orderBy(text))
     shared = joined.where("_rows > 1").withColumn("_place", place)
     shared = shared.select(*names, (F.floor(F.col("_times") / F.col("_rows")) + (F.col("_place") <= F.col("_times") % F.col("_rows")).cast("long")).alias("_times"))
     repeated = alone.union(shared).select(*names, F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))))

@@ -61,6 +61,19 @@ def test_mixing(stages):
     assert {i: got.count(i) for i in times} == times
 
 
+def test_mixing_rows_of_one_id(spark):
+    """Rows with one id and different sizes are taken as drawn."""
+    from keystrata.llm.stages import mixing_stage
+
+    rows = [(i // 3, " ".join(["w"] * (1 + i * 7 % 40)), "ab"[i % 2]) for i in range(300)] + [(None, "x y", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = mixing.mix(docs).groupBy("source").sum("taken").collect()
+    got = mixing_stage(docs).groupBy("source").agg({"*": "count"}).collect()
+    assert len(got) == len(want) == 3
+    sized = mixing_stage(docs).selectExpr("source", "size(split(text, ' ')) AS n").groupBy("source").sum("n").collect()
+    assert {tuple(r) for r in sized} == {tuple(r) for r in want}
+
+
 def test_packing(stages):
     pieces = stages[5]
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in stages[4].select("doc_id").distinct().collect()}

@@ -26,14 +26,39 @@ ROWS = "doc_id long, text string"
 # ---------------------------------------------------------------- mixing
 
 
-@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
-def test_water_fill(sizes):
-    weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
-    targets = mixing.water_fill(sizes, weights, 3.0)
-    assert sum(targets) == pytest.approx(sum(sizes))
-    assert all(t <= 3 * n + 1e-6 for t, n in zip(targets, sizes, strict=True))
-    levels = {round(t / w, 6) for t, w, n in zip(targets, weights, sizes, strict=True) if t < 3 * n - 1e-6}
-    assert len(levels) <= 1
+def water_fill(sizes: list[int], cap: float = 3.0) -> list[float]:
+    """Targets by the contract, source by source."""
+    weights, full = [(5, 2, 1)[i % 3] for i in range(len(sizes))], [False] * len(sizes)
+    while True:
+        weight = sum(w for w, c in zip(weights, full, strict=True) if not c)
+        rest = sum(sizes) - sum(cap * n for n, c in zip(sizes, full, strict=True) if c)
+        got = [cap * n if c else w * rest / weight for w, n, c in zip(weights, sizes, full, strict=True)]
+        over = [i for i, (t, n) in enumerate(zip(got, sizes, strict=True)) if t > cap * n and not full[i]]
+        if not over:
+            return got
+        for i in over:
+            full[i] = True
+
+
+@pytest.mark.parametrize("sizes", [[5], [0], [0, 0, 9], [1, 1000, 3, 0, 70, 2, 2, 500, 1], [100, 1, 1, 1, 1], [7] * 8, [10**9, 5 * 10**9, 3]])
+def test_targets(spark, sizes):
+    names = [None if i == len(sizes) - 1 else chr(65 + 300 * i) for i in range(len(sizes))]
+    sized = spark.createDataFrame([(n, x) for name, size in zip(names, sizes, strict=True) for n, x in [(name, size // 2), (name, size - size // 2)]], "source string, size long")
+    found = mixing.source_targets(sized)
+    got = {r.source: r.target for r in found.table.collect()}
+    want = water_fill(sizes)
+    assert got == pytest.approx(dict(zip(names, want, strict=True))) and sum(want) == pytest.approx(sum(sizes))
+    assert all(got[n] <= 3 * x + 1e-6 for n, x in zip(names, sizes, strict=True))
+    assert (found.sources, found.rows, found.most) == (len(sizes), 2 * len(sizes), 2)
+
+
+def test_sources_beyond_a_broadcast(spark):
+    """Hot sources and the others join alike, whatever is broadcast."""
+    rows = [(i, None if i % 50 == 1 else f"s{i % 200 if i % 3 else 0}", i % 17) for i in range(3000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    targets = mixing.source_targets(sized)
+    want = Counter(tuple(r) for r in targets.joined(sized).collect())
+    assert Counter(tuple(r) for r in targets.joined(sized, small=0, share=20).collect()) == want and sum(want.values()) == 3000
 
 
 @settings(max_examples=50, deadline=None)
@@ -64,7 +89,7 @@ def test_mix(spark, small):
     for r in docs.collect():
         sizes[r[2]] += len(WORD.findall(r[1] or ""))
     order = sorted((s for s in sizes if s is not None)) + [None]
-    targets = dict(zip(order, mixing.water_fill([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 3.0), strict=True))
+    targets = dict(zip(order, water_fill([sizes[s] for s in order]), strict=True))
     taken: Counter = Counter()
     for r in got:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(targets[r.source])
@@ -83,10 +108,8 @@ def test_mix_in_slices(spark):
     targets = mixing.source_targets(sized)
     drawn = mixing.draw(sized, targets, slice_rows=20).collect()
     assert len(drawn) == 3000
-    for source, _, target in targets:
-        assert abs(sum(r.times * r["size"] for r in drawn if r.source == source) - target) < 30
-    with pytest.raises(ValueError, match="sources"):
-        mixing.source_targets(sized, max_sources=1)
+    for t in targets.table.collect():
+        assert abs(sum(r.times * r["size"] for r in drawn if r.source == t.source) - t.target) < 30
 
 
 # ---------------------------------------------------------------- URLs
