@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """What the cluster names in spark.checkpoint.dir; a temporary folder only where it names none."""
+    """What the cluster names in spark.checkpoint.dir; a temporary folder only on a local master that names none."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="keystrata-")
     if not context.getCheckpointDir():
-        named = named or "file://" + tempfile.mkdtemp(prefix="keystrata-")
         context.setCheckpointDir(named)
     return named
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..model import BLOCK_BYTES, FILE_BYTES
 from .changelog import record_bytes
 from .ordering import placed
@@ -47,18 +49,41 @@ def block_index(blocked: DataFrame) -> DataFrame:
 def find_block(index: DataFrame, probes: DataFrame) -> DataFrame:
     """(run, key, block): for every probe and run the first block whose last key is not smaller; -1 if there is none.
 
-    Probes and index entries of a run are merged in key order and each probe takes the nearest entry after it: a
-    window over a run's index and probes, not a join of every probe with every block."""
-    runs = index.select("run").distinct()
-    asked = probes.select("key").distinct().join(F.broadcast(runs)).select("run", "key", F.lit(None).cast("long").alias("block"), F.lit(0).alias("entry"))
-    entries = index.select("run", F.col("last_key").alias("key"), F.col("block"), F.lit(1).alias("entry"))
-    after = Window.partitionBy("run").orderBy("key", "entry").rowsBetween(0, Window.unboundedFollowing)
-    both = asked.unionByName(entries).withColumn("found", F.first("block", ignorenulls=True).over(after))
-    return both.where("entry = 0").select("run", "key", F.coalesce("found", F.lit(-1)).alias("block"))
-
-
-def split_files(records: DataFrame, limit: int = FILE_BYTES) -> DataFrame:
-    """Output files of a large compaction: (key, value, size, file), cut in key order wherever the bytes so far pass a
-    multiple of the limit.  ``with_blocks`` packs greedily instead, which needs a run's records in one task."""
-    sized = records.select("key", "value", (record_bytes(F.col("key"), F.col("value")) + HEADER).alias("size"))
-    return placed(sized, "key", "size").select("key", "value", "size", F.floor((F.col("running") - F.col("size")) / limit).cast("long").alias("file"))
+    Probes and index entries are merged in key order, a range of keys to a task, and of each run the next entry beyond a
+    range is carried to it: neither a run nor all probes are held by one task, and a probe meets one entry of each run.
+    The runs are a manifest, which the driver holds; the answer itself has a row for each probe and run."""
+    kind = {f.name: f.dataType.simpleString() for f in index.schema}
+    entries = index.select(F.col("last_key").alias("key"), "run", F.col("block").cast("long").alias("block"))
+    asked = probes.select("key", F.lit(None).cast(kind["run"]).alias("run"), F.lit(None).cast("long").alias("block")).distinct()
+    ranged = cut(entries.unionByName(asked).repartitionByRange("key").withColumn("range", F.spark_partition_id()))
+    runs = [r.run for r in index.select("run").distinct().collect()]
+    first = ranged.where("run IS NOT NULL").groupBy("range", "run").agg(F.min_by("block", "key").alias("block"))
+    grid = ranged.select("range").distinct().select("range", F.explode(F.array(*[F.lit(r) for r in runs]).cast(f"array<{kind['run']}>")).alias("run"))
+    after = Window.partitionBy("run").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = grid.join(first, ["range", "run"], "left").select(F.col("range").alias("at"), "run", F.coalesce(F.last("block", ignorenulls=True).over(after), F.lit(-1)).alias("later"))
+
+    def run(rows: pa.Table, later: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("key", "ascending"), ("run", "ascending")], null_placement="at_start"))  # a probe before an entry of its key
+        number, block = rows["run"], rows["block"].to_numpy()
+        asks = np.flatnonzero(number.is_null().to_numpy())
+        keys, out = rows["key"].take(pa.array(asks)), []
+        for r, beyond in zip(later["run"], later["later"].to_pylist(), strict=True):
+            own = np.flatnonzero(pc.fill_null(pc.equal(number, r), False).to_numpy())
+            k = np.searchsorted(own, asks)
+            found = np.append(block[own], beyond)[k].astype(np.int64)
+            out.append(pa.table({"run": pa.array([r.as_py()] * len(asks), number.type), "key": keys, "block": found}))
+        return pa.concat_tables(out) if out else pa.table({"run": number[:0], "key": rows["key"][:0], "block": pa.array([], pa.int64())})
+
+    return ranged.groupBy("range").cogroup(carried.groupBy("at")).applyInArrow(run, f"run {kind['run']}, key {kind['last_key']}, block long")
+
+
+def split_files(records: DataFrame, limit: int = FILE_BYTES, *carry: str) -> DataFrame:
+    """Output files of a large compaction: (key, value, carry, size, file), cut in key order, none over ``limit`` bytes
+    unless one record is.
+
+    A new file begins wherever the bytes so far pass a multiple of the limit less the largest record, so running sums by
+    ranges of keys say it and no task sees more than a range."""
+    sized = records.select("key", "value", *carry, (record_bytes(F.col("key"), F.col("value")) + HEADER).alias("size"))
+    rows = placed(sized, "key", "size")
+    largest = rows.agg(F.max("size")).first()[0] or 0
+    return rows.select("key", "value", *carry, "size", F.expr(f"(running - size) div {max(limit - largest, 1)}").alias("file"))

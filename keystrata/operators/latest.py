@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from .ordering import placed
 
 
-def latest(log: DataFrame, order: str = "seq", *keys: str) -> DataFrame:
-    """(keys, order, value): the newest row of each key; deletes stay, as null."""
+def latest(log: DataFrame, order: str = "seq", *keys: str, carry: str | None = None) -> DataFrame:
+    """(keys, order, value): the newest row of each key; deletes stay, as null.  ``carry`` names one more of its columns."""
     keys = keys or ("key",)
-    return log.groupBy(*keys).agg(F.max(order).alias(order), F.max_by("value", order).alias("value"))
+    more = [F.max_by(carry, order).alias(carry)] if carry else []
+    return log.groupBy(*keys).agg(F.max(order).alias(order), F.max_by("value", order).alias("value"), *more)
 
 
 def live(log: DataFrame, order: str = "seq") -> DataFrame:

@@ -31,19 +31,20 @@ def manifest_order(runs: DataFrame) -> DataFrame:
     return newest.select((F.row_number().over(Window.orderBy("max_seq")) - 1).cast("long").alias("ord"), "run", "max_seq")
 
 
-def merge(runs: DataFrame, order: str = "run") -> DataFrame:
-    """(key, run, value): the newest run's version of each key; deletes stay."""
-    return latest(runs, order).select("key", order, "value")
+def merge(runs: DataFrame, order: str = "run", carry: str | None = None) -> DataFrame:
+    """(key, run, value): the newest run's version of each key, with its ``carry`` if named; deletes stay."""
+    return latest(runs, order, carry=carry).select("key", order, "value", *([carry] if carry else []))
 
 
 def layered_get(*tiers: DataFrame) -> DataFrame:
-    """Live state over tiers, newest first, each with unique keys: the first tier that holds a key decides, also when
-    it holds a delete.  All tiers are read at once; one aggregate takes the place of the cascade."""
+    """(key, value, tier) of live keys over tiers, newest first, each with unique keys: the first tier that holds a key
+    decides, also when it holds a delete; ``tier`` is its place.  All tiers are read at once; one aggregate takes the
+    place of the cascade."""
     ranked = [t.select("key", "value", F.lit(-k).alias("tier")) for k, t in enumerate(tiers)]
     stack = ranked[0]
     for t in ranked[1:]:
         stack = stack.unionByName(t)
-    return latest(stack, "tier").where("value IS NOT NULL").select("key", "value")
+    return latest(stack, "tier").where("value IS NOT NULL").select("key", "value", (-F.col("tier")).alias("tier"))
 
 
 def run_get(runs: DataFrame, run: int, key) -> DataFrame:
@@ -51,10 +52,10 @@ def run_get(runs: DataFrame, run: int, key) -> DataFrame:
     return runs.where((F.col("run") == run) & (F.col("key") == key)).select("key", "value")
 
 
-def compact(inputs: DataFrame, holds_oldest: bool = True) -> DataFrame:
+def compact(inputs: DataFrame, holds_oldest: bool = True, carry: str | None = None) -> DataFrame:
     """(key, run, value): one run from several, newest version first.  Deletes go only if nothing older is left that
     they hide: if the inputs hold the oldest run."""
-    merged = merge(inputs)
+    merged = merge(inputs, carry=carry)
     return merged.where("value IS NOT NULL") if holds_oldest else merged
 
 

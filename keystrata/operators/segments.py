@@ -8,22 +8,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..model import MEMTABLE_BYTES
 from .changelog import record_bytes
 from .latest import latest
+from .ordering import placed
 
 
-def running_bytes(log: DataFrame, stride: int = 1 << 16) -> DataFrame:
+def running_bytes(log: DataFrame) -> DataFrame:
     """The log with ``bytes`` of each record and ``running``, the sum up to and with it in order of seq.
 
-    Sums of stretches of ``stride`` sequence numbers are added up first, a row a stretch, so that the window over all
-    rows works inside a stretch and no task sees the whole log."""
-    sized = log.withColumn("bytes", record_bytes(F.col("key"), F.col("value"))).withColumn("stretch", F.expr(f"seq div {stride}"))
-    sums = sized.groupBy("stretch").agg(F.sum("bytes").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    offsets = sums.select("stretch", before.alias("before"))
-    inside = F.sum("bytes").over(Window.partitionBy("stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return sized.join(offsets, "stretch").withColumn("running", F.col("before") + inside).drop("stretch", "before")
+    Sums go by ranges of seq, so no task sees the whole log, however dense or sparse the numbers are."""
+    sized = log.withColumn("bytes", record_bytes(F.col("key"), F.col("value")))
+    return placed(sized, "seq", "bytes").drop("place")
 
 
 def rotate(log: DataFrame, limit: int = MEMTABLE_BYTES) -> DataFrame:
@@ -38,23 +35,36 @@ def rotate_exact(log: DataFrame, limit: int = MEMTABLE_BYTES) -> DataFrame:
     """Segments as a single writer makes them: the size is that of the memtable, which an overwrite changes by the
     difference, and the table rotates after the write that reaches the limit.
 
-    Inherently one pass in order; it streams the log through one task and holds one memtable's keys."""
+    Where a segment begins depends on where the one before it ended, so this is one pass in order.  The pass sees lengths
+    and a hash of the key only, some 40 bytes a write, which its task sorts and reads as a stream; it holds one memtable's
+    hashes and gives back the first seq of each segment, a row a memtable.  Writes get their segment by ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, size, held = 0, 0, {}
+        segment, size, held, begins = 0, 0, {}, True
         for batch in batches:
             out = []
-            for key, n_key, n_value in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                out.append(segment)
+            for seq, key, n_key, n_value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if begins:
+                    out.append((segment, seq))
+                    begins = False
                 size += n_value - held[key] if key in held else n_key + n_value
                 held[key] = n_value
                 if size >= limit:
-                    segment, size, held = segment + 1, 0, {}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int64())], ["seq", "key", "value", "segment"])
-
-    sized = log.select("seq", "key", "value", F.octet_length("key").alias("k"), F.coalesce(F.octet_length("value"), F.lit(0)).alias("v"))
-    kind = log.schema["key"].dataType.simpleString()
-    return sized.coalesce(1).sortWithinPartitions("seq").mapInArrow(run, f"seq long, key {kind}, value {kind}, segment long")
+                    segment, size, held, begins = segment + 1, 0, {}, True
+            yield pa.RecordBatch.from_pydict({"segment": [s for s, _ in out], "first": [q for _, q in out]})
+
+    key = F.concat(F.xxhash64("key").cast("string"), F.lit("."), F.crc32(F.col("key").cast("binary")).cast("string"))  # 96 bits tell keys apart
+    sized = log.select("seq", key.alias("hash"), F.octet_length("key").alias("k"), F.coalesce(F.octet_length("value"), F.lit(0)).alias("v"))
+    starts = cut(sized.repartition(1).sortWithinPartitions("seq").mapInArrow(run, "segment long, first long"))
+    none = {c: F.lit(None).cast(log.schema[c].dataType).alias(c) for c in ("key", "value")}
+    marks = starts.select(F.col("first").alias("seq"), none["key"], none["value"], "segment", F.lit(True).alias("mark"))
+    both = log.select("seq", "key", "value", F.lit(None).cast("long").alias("segment"), F.lit(False).alias("mark")).unionByName(marks)
+    ranged = cut(both.repartitionByRange("seq").withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ranged.groupBy("range").agg(F.max("segment").alias("m")).select("range", F.coalesce(F.max("m").over(before), F.lit(0)).alias("earlier"))  # a row a range
+    inside = F.max("segment").over(Window.partitionBy("range").orderBy("seq"))  # marks of the same seq included
+    found = ranged.withColumn("inside", inside).join(F.broadcast(earlier), "range").where("NOT mark")
+    return found.select("seq", "key", "value", F.coalesce("inside", "earlier").alias("segment"))
 
 
 def memtable_size(log: DataFrame) -> DataFrame:

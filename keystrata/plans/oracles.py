@@ -4,7 +4,7 @@ DuckDB's arg_max passes null values over, so newest versions come from row_numbe
 
 from __future__ import annotations
 
-from .fixtures import BLOCK, SEGMENT_BYTES, SPLIT
+from .fixtures import BLOCK, EXACT_BYTES, SEGMENT_BYTES, SPLIT
 
 LOG = """SELECT event_id AS seq, 'user:' || user_id AS key,
   CASE WHEN event_type <> 'error' THEN event_type || '|' || CAST(round(value * 100) AS BIGINT) END AS value FROM events"""
@@ -20,8 +20,7 @@ def newest(table: str, by: str, order: str = "seq", columns: str = "*") -> str:
 RUNS = newest("segments", "segment, key", columns="segment AS run, key, seq, value")
 BASE = f"WITH RECURSIVE log AS ({LOG}), segments AS ({SEGMENTS}), runs AS ({RUNS})"
 STATE = f"SELECT key, value FROM ({newest('log', 'key')}) WHERE value IS NOT NULL"
-PROBES = """SELECT DISTINCT key FROM (SELECT key FROM log WHERE CAST(split_part(key, ':', 2) AS BIGINT) % 7 = 0
-  UNION ALL SELECT 'none:' || key FROM log WHERE CAST(split_part(key, ':', 2) AS BIGINT) % 7 = 0)"""
+PROBES = "SELECT DISTINCT key FROM (SELECT key FROM log UNION ALL SELECT 'none:' || key FROM log)"
 
 
 def packing(source: str, limit: int) -> str:
@@ -32,6 +31,23 @@ def packing(source: str, limit: int) -> str:
    CASE WHEN w.used + s.size > {limit} THEN s.size ELSE w.used + s.size END FROM walk w JOIN sized s ON s.run = w.run AND s.pos = w.pos + 1)"""
 
 
+def left_runs(groups: str) -> str:
+    """What compaction leaves: ``groups`` says which run each one is merged into; deletes of the first one go.  Fewer
+    than four runs stay as they are."""
+    return f"""merged AS ({newest(f"(SELECT key, value, run AS old, CASE WHEN {DUE} THEN {groups} ELSE run END AS run FROM runs)", "run, key", "old", "run, key, value")})
+ SELECT run, key, value FROM merged WHERE value IS NOT NULL OR NOT {DUE} OR run > (SELECT min(run) FROM merged)"""
+
+
+DUE = "(SELECT count(DISTINCT run) >= 4 FROM runs)"
+#: Runs that oldest-first rounds of four merge into one: all but the last (n - 1) mod 3.
+MERGED = "(SELECT count(DISTINCT run) - (count(DISTINCT run) - 1) % 3 FROM runs)"
+#: Segments by the size of the memtable: a walk over the log that keeps each table's lengths.
+EXACT = f"""places AS (SELECT seq, key, strlen(key) AS k, coalesce(strlen(value), 0) AS v, row_number() OVER (ORDER BY seq) AS pos FROM log),
+ walk AS (SELECT pos, CAST(0 AS BIGINT) AS segment, k + v >= {EXACT_BYTES} AS full, k + v AS size, CASE WHEN k + v >= {EXACT_BYTES} THEN MAP {{}}::MAP(VARCHAR, BIGINT) ELSE MAP([key], [v]) END AS held FROM places WHERE pos = 1
+  UNION ALL SELECT pos, segment, size >= {EXACT_BYTES}, CASE WHEN size >= {EXACT_BYTES} THEN 0 ELSE size END, CASE WHEN size >= {EXACT_BYTES} THEN MAP {{}}::MAP(VARCHAR, BIGINT) ELSE held END FROM
+   (SELECT p.pos, w.segment + CASE WHEN w.full THEN 1 ELSE 0 END AS segment, w.size * CASE WHEN w.full THEN 0 ELSE 1 END + p.v + coalesce(-w.held[p.key], p.k) AS size,
+     map_concat(w.held, MAP([p.key], [CAST(p.v AS BIGINT)])) AS held FROM walk w JOIN places p ON p.pos = w.pos + 1))"""
+FILED = f"filed AS (SELECT *, CAST(sum(size) OVER (ORDER BY key) - size AS BIGINT) // ({SPLIT} - (SELECT max(size) FROM sized)) AS file FROM sized)"
 INDEX = "SELECT run, CAST(block AS BIGINT) AS block, max(key) AS last_key, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM walk GROUP BY run, block"
 
 
@@ -77,21 +93,21 @@ SQL: dict[str, str] = {
     "live_count": f"{BASE} SELECT run AS segment, count(value) AS live, count(*) - count(value) AS tombstones FROM runs GROUP BY run",
     "memtable_size": f"{BASE} SELECT run AS segment, CAST(sum({SIZE}) AS BIGINT) AS bytes, count(*) AS keys FROM runs GROUP BY run",
     "rotate_segments": f"{BASE} SELECT seq, segment, bytes FROM segments",
+    "rotate_exact": f"WITH RECURSIVE log AS ({LOG}), {EXACT} SELECT w.segment, count(*) AS n, min(p.seq) AS first_seq, max(p.seq) AS last_seq FROM walk w JOIN places p USING (pos) GROUP BY w.segment",
     "memtable_state": f"{BASE} SELECT run AS segment, key, seq, value FROM runs",
     "flush_runs": f"{BASE} SELECT run, key, seq, value FROM runs",
     "run_stats": f"{BASE} SELECT run, count(*) AS n, count(*) - count(value) AS n_tombstones, min(key) AS min_key, max(key) AS max_key, max(seq) AS max_seq FROM runs GROUP BY run",
     "manifest_order": f"{BASE} SELECT row_number() OVER (ORDER BY max_seq) - 1 AS ord, run, max_seq FROM (SELECT run, max(seq) AS max_seq FROM runs GROUP BY run)",
-    "layered_get": f"WITH log AS ({LOG}) {STATE}",
+    "layered_get": f"{BASE} SELECT s.key, s.value, CAST(r.run AS BIGINT) AS run FROM ({STATE}) s JOIN (SELECT key, max(run) AS run FROM runs GROUP BY key) r USING (key)",
     "run_get": f"{BASE} SELECT key, value FROM runs WHERE run = 1 AND key = 'user:7'",
     "merge_runs": f"{BASE} {newest('runs', 'key', 'run', 'key, run, value')}",
     "compact_oldest4": f"{BASE} SELECT key, run, value FROM ({newest('(SELECT * FROM runs WHERE run < 4)', 'key', 'run')}) WHERE value IS NOT NULL",
-    "compact_after_state": f"WITH log AS ({LOG}) {STATE}",
-    "compact_fixpoint": f"WITH log AS ({LOG}) {STATE}",
+    "compact_after_state": f"{BASE}, {left_runs('CASE WHEN run < 4 THEN 3 ELSE run END')}",
+    "compact_fixpoint": f"{BASE}, {left_runs(f'CASE WHEN run < {MERGED} THEN {MERGED} - 1 ELSE run END')}",
     "block_index": f"{BASE}, {packing('SELECT * FROM runs', BLOCK)} {INDEX}",
-    "compact_split": f"""{BASE}, merged AS (SELECT 0 AS run, key, value FROM ({newest('(SELECT * FROM runs WHERE run < 4)', 'key', 'run')}) WHERE value IS NOT NULL),
- {packing('SELECT * FROM merged', SPLIT)} SELECT CAST(block AS BIGINT) AS file, min(key) AS min_key, max(key) AS max_key, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM walk GROUP BY block""",
-    "split_files": f"""WITH log AS ({LOG}), sized AS (SELECT key, {SIZE} + 8 AS size FROM ({STATE})),
- filed AS (SELECT *, CAST(floor((sum(size) OVER (ORDER BY key) - size) / {SPLIT}) AS BIGINT) AS file FROM sized)
+    "compact_split": f"""{BASE}, sized AS (SELECT key, {SIZE} + 8 AS size FROM ({newest('(SELECT * FROM runs WHERE run < 4)', 'key', 'run')}) WHERE value IS NOT NULL), {FILED}
+ SELECT file, min(key) AS min_key, max(key) AS max_key, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM filed GROUP BY file""",
+    "split_files": f"""WITH log AS ({LOG}), sized AS (SELECT key, {SIZE} + 8 AS size FROM ({STATE})), {FILED}
  SELECT file, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(key) AS min_key FROM filed GROUP BY file""",
     "find_block": f"""{BASE}, {packing('SELECT * FROM runs', BLOCK)}, idx AS ({INDEX})
  SELECT r.run, p.key, coalesce((SELECT min(i.block) FROM idx i WHERE i.run = r.run AND i.last_key >= p.key), -1) AS block FROM ({PROBES}) p, (SELECT DISTINCT run FROM runs) r""",
@@ -103,7 +119,7 @@ SQL: dict[str, str] = {
   count(*) FILTER (key LIKE 'miss:%' AND may_contain) AS false_positives, count(*) FILTER (key LIKE 'miss:%') AS absent FROM probed""",
     "ordered_scan": f"WITH log AS ({LOG}) SELECT key, value, row_number() OVER (ORDER BY key) AS rank FROM ({STATE})",
     "wal_segment_order": f"{BASE} SELECT DISTINCT {SEGMENT_FILE} AS name, segment AS ts FROM segments",
-    "recover_segments": f"WITH log AS ({LOG}) {STATE}",
+    "recover_segments": f"""{BASE} SELECT {SEGMENT_FILE} AS name, s.key, s.value FROM ({newest('segments', 'key')}) s WHERE s.value IS NOT NULL""",
     "wal_encode": f"WITH log AS ({LOG}) SELECT seq, {HEX.format(LE.format(crc_of('body')))} || {HEX.format('body')} AS record FROM (SELECT seq, {BODY} AS body FROM log)",
     "wal_replay": f"{BASE} SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY seq) - 1 AS pos, key, value FROM segments",
     "wal_replay_stats": f"{BASE} SELECT segment, count(*) - 1 AS recovered, CAST(1 AS BIGINT) AS skipped FROM segments GROUP BY segment",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.hashing import bloom_params_columns
 from ..operators import blocks, bloom, latest, runs, segments
 from ..operators.changelog import status
@@ -86,9 +87,11 @@ def manifest_order(spark, d):
 
 
 def layered_get(spark, d):
-    """Newest tier: the last segment's memtable; below it the runs, which are one stack with their number as order."""
-    flushed = fx.runs(spark, d)
-    return latest.live(flushed.select("key", "run", "value"), "run")
+    """Each run is a tier, newest first, and a key's value comes with the run that decided."""
+    flushed = cut(fx.runs(spark, d))
+    newest_first = _ordered(flushed)[::-1]
+    found = runs.layered_get(*[flushed.where(F.col("run") == r) for r in newest_first])
+    return found.select("key", "value", F.element_at(F.array(*[F.lit(r).cast("long") for r in newest_first]), F.col("tier") + 1).alias("run"))
 
 
 def run_get(spark, d):
@@ -103,20 +106,22 @@ def compact_oldest4(spark, d):
     return runs.compact(fx.runs(spark, d).where("run < 4"))
 
 
-def compact_after_state(spark, d):
-    r = fx.runs(spark, d)
-    one = runs.compact(r.where("run < 4")).select(F.lit(3).cast("long").alias("run"), "key", "value")
-    return latest.live(one.unionByName(r.where("run >= 4").select("run", "key", "value")), "run")
-
-
 def _ordered(r: DataFrame) -> list[int]:
     return [x.run for x in runs.manifest_order(r).orderBy("ord").collect()]  # a row for each run: a manifest
 
 
+def compact_after_state(spark, d):
+    """All runs after the oldest four have become one."""
+    r = cut(fx.runs(spark, d))
+    left, _ = runs.compact_oldest(r, _ordered(r))
+    return left.select("run", "key", "value")
+
+
 def compact_fixpoint(spark, d):
-    r = fx.runs(spark, d)
+    """All runs once no compaction is due."""
+    r = cut(fx.runs(spark, d))
     left, _ = runs.compact_fixpoint(r, _ordered(r))
-    return latest.live(left, "run")
+    return left.select("run", "key", "value")
 
 
 def block_index(spark, d):
@@ -124,8 +129,8 @@ def block_index(spark, d):
 
 
 def compact_split(spark, d):
-    merged = runs.compact(fx.runs(spark, d).where("run < 4")).select(F.lit(0).cast("long").alias("run"), "key", "value")
-    return blocks.with_blocks(merged, fx.SPLIT).groupBy(F.col("block").alias("file")).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    merged = runs.compact(fx.runs(spark, d).where("run < 4"))
+    return blocks.split_files(merged, fx.SPLIT).groupBy("file").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 def split_files(spark, d):
@@ -181,10 +186,11 @@ def wal_segment_order(spark, d):
 
 
 def recover_segments(spark, d):
-    """State from segments, ordered by their names alone."""
+    """State from segments, ordered by their names alone, with the segment that each value comes from."""
     s = fx.segmented(spark, d).withColumn("path", _segment_name(F.col("segment")))
-    ts, _ = wal.segment_order(F.col("path"), F.lit(None).cast("timestamp"))
-    return latest.live(s.select("key", "value", F.struct(ts.alias("ts"), "seq").alias("version")), "version")
+    ts, name = wal.segment_order(F.col("path"), F.lit(None).cast("timestamp"))
+    versions = s.select("key", "value", F.struct(ts.alias("ts"), "seq").alias("version"), name)
+    return latest.latest(versions, "version", carry="name").where("value IS NOT NULL").select("name", "key", "value")
 
 
 def wal_encode(spark, d):
@@ -193,9 +199,9 @@ def wal_encode(spark, d):
 
 def _segments_as_files(spark, d) -> DataFrame:
     """(path, content): the log's segments in binary; a segment is bounded by its limit."""
-    s = fx.segmented(spark, d).select(F.col("segment").cast("string").alias("path"), F.struct("seq", wal.encode_column(F.col("key"), F.col("value")).alias("record")).alias("r"))
+    s = fx.segmented(spark, d).select(F.col("segment").cast("string").alias("path"), F.struct("seq", F.hex(wal.encode_column(F.col("key"), F.col("value"))).alias("record")).alias("r"))
     joined = s.groupBy("path").agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    return joined.select("path", F.aggregate(F.col("rs"), F.unhex(F.lit("")), lambda a, r: F.concat(a, r["record"])).alias("content"))
+    return joined.select("path", F.unhex(F.array_join(F.col("rs")["record"], "")).alias("content"))
 
 
 def wal_replay(spark, d):
