@@ -10,7 +10,6 @@ import contextlib
 import ctypes
 import math
 import os
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -19,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint_dir
+
 U64 = np.uint64
 #: Text that a bucket holds, which bounds what a group's function keeps in memory.
 BUCKET_BYTES = 4e6
@@ -35,31 +36,53 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return plain.select(*[F.col(f"_{i}").alias(new) for new, i in at.items()])
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="keystrata-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+#: Makes an action remove its shuffle files when it is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     """Materialise and cut lineage in the shared checkpoint folder, in at most ``files`` files: what is small next to
-    the input must not become as many files as there are shuffle partitions."""
-    ensure_checkpoint_dir(df.sparkSession)
-    out = (df.coalesce(files) if files else df).checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that lineage no longer needs
-    return out
+    the input must not become as many files as there are shuffle partitions.  The shuffles that led to it are removed
+    at once."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return (df.coalesce(files) if files else df).checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame) -> str:
+    """Path of df as Parquet in the shared folder."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    return path
 
 
 def rewritten(df: DataFrame) -> DataFrame:
     """Written as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4()}.parquet"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(written(df))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes what ``written`` wrote, on whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, count: str, total: int, share: int = 256) -> DataFrame:
+    """rows joined with table, which has one or few rows for a key and says in ``count`` how many of the ``total`` rows
+    hold it.  Keys that hold a ``share``-th of all rows or more, ``share`` at most, are dealt to all tasks by the column
+    ``by``, with a copy of their rows of table for each; so no task gets more than its part of one key."""
+    hot = [r[0] for r in table.where(F.col(count) * share >= total).select(key).distinct().head(share)]
+    if not hot:
+        return rows.join(table, key)
+    ways, is_hot = shuffle_partitions(rows.sparkSession), F.col(key).isin(hot)
+    dealt = rows.withColumn("_way", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(ways))).otherwise(F.lit(0)).cast("int"))
+    copies = table.withColumn("_way", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(ways - 1)).otherwise(F.lit(0)))))
+    return dealt.join(copies, [key, "_way"]).drop("_way")
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -1,8 +1,8 @@
 """Connected components by alternating stars, all in DataFrames.
 
 Each round links the neighbours of every node to the smallest of them, first the larger, then the smaller ones; the
-number of rounds grows with the logarithm of the longest path.  A hub is one key of an aggregate with partial sums and
-of a join that Spark splits when it is skewed.  Every round is written to the shared checkpoint folder.
+number of rounds grows with the logarithm of the longest path.  A hub is one key of an aggregate with partial sums, and
+of a join that deals its links to all tasks.  Every round is written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 
 def _is_forest_of_stars(e: DataFrame) -> bool:
@@ -25,11 +25,12 @@ def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     to another, label being the smallest node of its component.  No edges: no rows."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), files)
     while not _is_forest_of_stars(e):
+        n = 2 * e.count()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, least, "u", "v", "n", n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        linked = spread_join(large, least, "u", "v", "n", n)
         e = cut(linked.select("u", F.col("m").alias("v")).union(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), files)
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label")))

@@ -175,7 +175,7 @@ def _candidates(docs: DataFrame, total: int, num: int, den: int, shingle: int) -
     documents with rare shared blocks; and those blocks, many (key, document) a row."""
     least = C.shuffle_partitions(docs.sparkSession)
     n_buckets = int(max(total / C.BUCKET_BYTES, least))
-    parts = keycount.parts_for(total, least)
+    ranges = keycount.ranges_for(total, least)
     bounds = Bounds(num, den)
     dealt = C.bucketed(docs, n_buckets)
 
@@ -186,7 +186,7 @@ def _candidates(docs: DataFrame, total: int, num: int, den: int, shingle: int) -
         sets, same = _bucket_sets(t["text"], C.ids_of(t["doc_id"]), shingle)
         keys = Sketches(sets, chosen_of(sets, same), bounds).keys
         del sets
-        rows = list(keycount.request(t["bucket"][0].as_py(), keys, parts))
+        rows = list(keycount.request(t["bucket"][0].as_py(), keys, ranges))
         C.trim()
         return keycount.request_table(rows)
 
@@ -196,7 +196,7 @@ def _candidates(docs: DataFrame, total: int, num: int, den: int, shingle: int) -
         ids = C.ids_of(t["doc_id"])
         sets, same = _bucket_sets(t["text"], ids, shingle)
         sketches = Sketches(sets, chosen_of(sets, same), bounds)
-        found = keycount.Answers(answers, sketches.keys, parts)
+        found = keycount.Answers(answers, sketches.keys, ranges)
         at, keys = sketches.rare(found.of(sketches.keys))
         held = np.unique(at)
         n, m = len(ids), len(held)
@@ -214,7 +214,7 @@ def _candidates(docs: DataFrame, total: int, num: int, den: int, shingle: int) -
         )
 
     asked = dealt.groupBy("bucket").applyInArrow(ask, keycount.REQUEST)
-    return dealt.groupBy("bucket").cogroup(keycount.count(asked).groupBy("bucket")).applyInArrow(emit, OUT_DDL)
+    return dealt.groupBy("bucket").cogroup(keycount.count(asked, ranges).groupBy("bucket")).applyInArrow(emit, OUT_DDL)
 
 
 def _unpack_blocks(rows: DataFrame) -> DataFrame:
@@ -254,8 +254,8 @@ def _star_pairs(blocks: DataFrame) -> DataFrame:
     Of a cluster of near copies, which share most blocks, nearly all get linked this way, with a number of pairs in
     proportion to the blocks' rows."""
     pivots = blocks.groupBy("key").agg(F.min("doc").alias("p"), F.min_by("doc", F.xxhash64("doc")).alias("q"), F.count("*").alias("n"))
-    pivots = pivots.where("n > 1").select("key", F.explode(F.array_distinct(F.array("p", "q"))).alias("a"))
-    met = blocks.join(pivots, "key").where("a <> doc")
+    pivots = pivots.where("n > 1").select("key", "n", F.explode(F.array_distinct(F.array("p", "q"))).alias("a"))
+    met = C.spread_join(blocks, pivots, "key", "doc", "n", blocks.count()).where("a <> doc")
     return met.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
 
 
@@ -268,21 +268,23 @@ def _bit_sketches(sets: Sets, chosen: np.ndarray, bits: int = 2048) -> list[byte
     return out
 
 
-def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, small_sets: bool, chunk: int = 1024) -> DataFrame:
+def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, small_sets: bool, chunk: int = 4096) -> DataFrame:
     """(a, b): members of one block whose components differ, whose sizes fit and whose bit sketches are no further
     apart than the threshold allows.  With small_sets the sets travel along, and only pairs that reach the threshold
     and join components that no pair before has joined leave a unit of work: fewer than it has members.
 
     A block's members are dealt into chunks of about ``chunk``, and each pair of chunks is one unit of work, so the
-    largest block does not bound a task; only pairs that pass the sketches leave it."""
+    largest block does not bound a task; only pairs that pass the sketches leave it.  A member travels once for each
+    chunk of its block: only blocks that still hold several components come here, few of which have a second chunk."""
     bounds = Bounds(num, den)
     spark = blocks.sparkSession
-    sized = blocks.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"))
+    total = blocks.count()
+    sized = blocks.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"), F.count("*").alias("members_here"))
     known = members.select(F.col("doc_id").alias("doc"), F.col("n"), F.col("docs").alias("sketch"), *([F.col("keys").alias("members")] if small_sets else []))
     more = ["members"] if small_sets else []
-    dealt = blocks.join(known, "doc").join(sized, "key").withColumn("c", F.pmod(F.xxhash64("doc"), "k").cast("int"))
+    dealt = C.spread_join(blocks, sized, "key", "doc", "members_here", total).join(known, "doc").withColumn("c", F.pmod(F.xxhash64("doc"), "k").cast("int"))
     units = dealt.select("key", "doc", "label", "n", "sketch", *more, "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    cells = max(C.shuffle_partitions(spark), int(blocks.count() / 20_000) + 1)
+    cells = max(C.shuffle_partitions(spark), int(total / 20_000) + 1)
     units = units.select(F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "key", "doc", "label", "n", "sketch", *more)
     units = units.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)).cast("int"))
 
@@ -333,15 +335,18 @@ def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, small_set
             seen.add(members_here)
             mixed = col["i"][rows[0]] != col["j"][rows[0]]  # two chunks: only pairs across them
             n, label, part = col["n"][rows], col["label"][rows], col["c"][rows]
-            for x in range(0, len(rows), 128):
-                here = slice(x, x + 128)
+            step = max(1, (1 << 18) // len(rows))  # rows of the square at a time
+            for x in range(0, len(rows), step):
+                here = slice(x, x + step)
                 small, large = np.minimum(n[here, None], n), np.maximum(n[here, None], n)
                 ok = (label[here, None] < label) & (num * large <= den * small)
                 if mixed:
                     ok &= part[here, None] != part
                 p, q = np.nonzero(ok)
-                apart = np.bitwise_count(sketch[rows[p + x]] ^ sketch[rows[q]]).sum(axis=1)
-                near = apart <= bounds.apart(n[p + x], n[q])
+                near = np.empty(len(p), bool)
+                for y in range(0, len(p), 1 << 14):
+                    u, v = p[y : y + (1 << 14)] + x, q[y : y + (1 << 14)]
+                    near[y : y + (1 << 14)] = np.bitwise_count(sketch[rows[u]] ^ sketch[rows[v]]).sum(axis=1) <= bounds.apart(n[u], n[v])
                 if small_sets:
                     near = np.array([bool(k) and joins(a, b) for k, a, b in zip(near, rows[p + x], rows[q], strict=True)], bool)
                 pairs = np.stack([col["doc"][rows[p[near] + x]], col["doc"][rows[q[near]]]], axis=1)
@@ -361,13 +366,13 @@ def _labelled(blocks: DataFrame, labels: DataFrame, once: bool) -> DataFrame:
     """Blocks whose members are of several components still; with ``once``, of blocks with the same members only one
     (told by 128 bits of XORed hashes and their number)."""
     named = blocks.join(labels, blocks.doc == labels.node, "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-    ends = [F.min("label").alias("x"), F.max("label").alias("y")]
+    ends = [F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")]
     if once:
-        ends += [F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("h"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("i")]
+        ends += [F.bit_xor(F.xxhash64("doc")).alias("h"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("i")]
     mixed = named.groupBy("key").agg(*ends).where("x <> y")
     if once:
         mixed = mixed.groupBy("n", "h", "i").agg(F.min("key").alias("key"))
-    return named.join(mixed.select("key"), "key")
+    return C.spread_join(named, mixed.select("key", "n"), "key", "doc", "n", blocks.count()).drop("n")
 
 
 def cluster(blocks: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int, files: int, small_sets: bool = False) -> DataFrame:

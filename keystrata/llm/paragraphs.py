@@ -130,7 +130,7 @@ PLACE = np.dtype([("node", "<i8"), ("doc", "<i8"), ("line", "<i8"), ("start", "<
 def _candidates(docs: DataFrame, total: int, n_bands: int, enough: int, least_words: int, shingle: int, passage: int, short: bool) -> DataFrame:
     least = C.shuffle_partitions(docs.sparkSession)
     n_buckets = int(max(total / C.BUCKET_BYTES, least))
-    parts = keycount.parts_for(total, least)
+    ranges = keycount.ranges_for(total, least)
     dealt = C.bucketed(docs, n_buckets)
 
     def runs(t: pa.Table) -> tuple[np.ndarray, list[tuple[int, Paragraphs]]]:
@@ -150,7 +150,7 @@ def _candidates(docs: DataFrame, total: int, n_bands: int, enough: int, least_wo
             once = np.ones(len(k), bool)
             once[1:] = (k[order][1:] != k[order][:-1]) | (doc[order][1:] != doc[order][:-1])
             keys.append(k[order][once])
-        rows = list(keycount.request(t["bucket"][0].as_py(), np.concatenate(keys or [np.empty(0, U64)]), parts))
+        rows = list(keycount.request(t["bucket"][0].as_py(), np.concatenate(keys or [np.empty(0, U64)]), ranges))
         C.trim()
         return keycount.request_table(rows)
 
@@ -158,7 +158,7 @@ def _candidates(docs: DataFrame, total: int, n_bands: int, enough: int, least_wo
         if not len(t):
             return OUT.empty_table()
         ids, found = runs(t)
-        answered = keycount.Answers(answers, np.concatenate([keys_of(p) for _, p in found] or [np.empty(0, U64)]), parts)
+        answered = keycount.Answers(answers, np.concatenate([keys_of(p) for _, p in found] or [np.empty(0, U64)]), ranges)
         places, nodes, sizes, sets, sketches, block_keys, block_nodes, seen = [], [], [], [], [], [], [], set()
         for a, p in found:
             known = answered.of(keys_of(p)) > 0
@@ -199,7 +199,7 @@ def _candidates(docs: DataFrame, total: int, n_bands: int, enough: int, least_wo
         )
 
     asked = dealt.groupBy("bucket").applyInArrow(ask, keycount.REQUEST)
-    return dealt.groupBy("bucket").cogroup(keycount.count(asked).groupBy("bucket")).applyInArrow(emit, OUT_DDL)
+    return dealt.groupBy("bucket").cogroup(keycount.count(asked, ranges).groupBy("bucket")).applyInArrow(emit, OUT_DDL)
 
 
 def _places(rows: DataFrame) -> DataFrame:
@@ -232,9 +232,9 @@ def repeated_paragraphs(docs: DataFrame, num: int = 75, den: int = 100, recall:
     labels = cluster(blocks, members, none, num, den, files, small_sets=True)
     places = _places(rows)
     named = C.cut(places.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node"), files)
-    first = named.groupBy("label").agg(F.min(F.struct("doc", "line", "start")).alias("first"), F.max("doc").alias("last"))
-    first = first.where("first.doc <> last").select("label", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"), F.col("first.start").alias("first_start"))
-    out = named.join(first, "label")
+    first = named.groupBy("label").agg(F.min(F.struct("doc", "line", "start")).alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    first = first.where("first.doc <> last").select("label", "n", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"), F.col("first.start").alias("first_start"))
+    out = C.spread_join(named, first, "label", "doc", "n", named.count())
     real = lambda c: F.when(F.col(c) != C.NULL_ID, F.col(c))
     removed = (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")) | (F.col("start") != F.col("first_start"))
     return out.select(real("doc").alias("doc_id"), "line", "start", "n_bytes", "n_words", real("first_doc").alias("first_doc_id"), "first_line", removed.alias("removed"))

@@ -8,8 +8,9 @@ from it, up to 26 bytes before it, and the range of its windows.
 
 1.  Buckets of documents send the hashes of their anchors' 24 bytes (keycount) and learn which occur in other
     documents.  Most do not, and go no further.
-2.  For the others, suffixes go to ranges of leading bytes, bounded by splitters that a bounded sample gives; each
-    bucket sends equal ones once, with the smallest id.  A range sorts its suffixes by multikey quicksort, eight bytes
+2.  For the others, suffixes go to ranges of leading bytes, bounded by splitters that a bounded sample gives (where more
+    ranges are wanted than it can tell apart, each is shared out by a hash of the anchor); each bucket, and each group
+    of buckets, sends equal ones once, with the smallest id.  A range sorts its suffixes by multikey quicksort, eight bytes
     a level, compares neighbours, and answers with the smallest document of each window.  Splitters are 16 bytes and
     anchors 24, so suffixes that share an anchor never lie on two sides of a boundary.
 3.  Buckets get the answers back, mark the windows whose smallest document is smaller than their own, and cut.
@@ -215,9 +216,9 @@ class Bucket:
         keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         return h[keep]
 
-    def suffixes(self, answers: pa.Table, parts: int) -> tuple[np.ndarray, ...]:
+    def suffixes(self, answers: pa.Table, ranges: keycount.Ranges) -> tuple[np.ndarray, ...]:
         """Records of anchors that others have too; document, first window (a byte of the bucket), windows."""
-        found = keycount.Answers(answers, np.concatenate([a.hash for *_, a in self.runs] or [np.empty(0, U64)]), parts)
+        found = keycount.Answers(answers, np.concatenate([a.hash for *_, a in self.runs] or [np.empty(0, U64)]), ranges)
         rows, ids, low, count = [np.empty((0, ROW), np.uint8)], [], [], []
         for doc, at, data, a in self.runs:
             keep = found.of(a.hash) > 0
@@ -229,8 +230,69 @@ class Bucket:
         return np.concatenate(rows), np.concatenate(ids or [none]), np.concatenate(low or [none]), np.concatenate(count or [none])
 
 
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _windows(rows: np.ndarray) -> np.ndarray:
+    """How many windows each suffix record stands for."""
+    return rows[:, WINDOW + LEFT].astype(np.int64) - rows[:, WINDOW + LEFT + 1] + 1
+
+
+def _records(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    rows = [np.frombuffer(zstandard.decompress(x), np.uint8).reshape(-1, ROW) for x in t["rows"].to_pylist()]
+    return rows, np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64) for x in t["docs"].to_pylist()])
+
+
+def _answers(t: pa.Table, counts: list[int], least: np.ndarray) -> pa.Table:
+    """least, cut into the answers to each row of t."""
+    ends = np.cumsum(counts)
+    C.trim()
+    return pa.table({"bucket": t["bucket"], "kind": pa.array([1] * len(t), pa.int32()), "part": t["part"], "classes": C.binaries([_pack(least[e - n : e]) for n, e in zip(counts, ends, strict=True)])})
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    rows, docs = _records(t)
+    return _answers(t, [int(_windows(r).sum()) for r in rows], least_documents(np.concatenate(rows), docs))
+
+
+def _answered(sent: DataFrame, n_buckets: int, fan: int | None = None) -> DataFrame:
+    """The smallest document of each window of each record sent.
+
+    With more than ``fan`` buckets, records meet in groups of so many first, and each group sends equal ones on once: a
+    passage that all documents share is one record a group in its range, not one a bucket."""
+    fan = fan or keycount.FAN
+    if n_buckets <= fan:
+        return sent.groupBy("part").applyInArrow(_answer, ANSWER)
+
+    def distinct(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rows, docs = _records(t)
+        every = np.concatenate(rows)
+        order, starts = multikey(every)
+        member = np.empty(len(every), np.int64)
+        member[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(every))))
+        return rows, every, every[order[starts]], member, np.minimum.reduceat(docs[order], starts)
+
+    def gather(t: pa.Table) -> pa.Table:
+        _, _, unique, _, smallest = distinct(t)
+        return pa.table({"bucket": t["cell"][:1], "part": t["part"][:1], "rows": C.binaries([_pack(unique)]), "docs": C.binaries([_pack(smallest)])}, schema=SUFFIXES)
+
+    def back(t: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, every, unique, member, _ = distinct(t)
+        least = np.frombuffer(zstandard.decompress(answers["classes"][0].as_py()), np.int64)
+        counts = _windows(unique)
+        own, first = _windows(every), (np.cumsum(counts) - counts)[member]
+        at = np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        return _answers(t, [int(_windows(r).sum()) for r in rows], least[at])
+
+    cells = sent.withColumn("cell", F.expr(f"bucket div {fan}").cast("int"))
+    answered = cells.groupBy("cell", "part").applyInArrow(gather, SUFFIXES_DDL).groupBy("part").applyInArrow(_answer, ANSWER)
+    answered = answered.select(F.col("bucket").alias("cell"), "part", "classes")
+    return cells.groupBy("cell", "part").cogroup(answered.groupBy("cell", "part")).applyInArrow(back, ANSWER)
+
+
 def _splitters(docs: DataFrame, total: int, parts: int, sample_bytes: int = 32_000_000) -> np.ndarray:
-    """parts - 1 strings of 16 bytes that divide the anchors of a bounded sample of documents evenly."""
+    """At most parts - 1 strings of 16 bytes that divide the anchors of a bounded sample of documents evenly."""
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,68 +315,63 @@ def _deduplicated(plain: DataFrame, finish, out) -> DataFrame:
     total = C.text_bytes(plain)
     least = C.shuffle_partitions(plain.sparkSession)
     n_buckets = int(max(total / C.BUCKET_BYTES, least))
-    parts = keycount.parts_for(total, least)
+    ranges = keycount.ranges_for(total, least)
     cuts = _splitters(plain, total, n_buckets)
     dealt = C.bucketed(plain, n_buckets)
-    pack = lambda x: zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    shares = -(-n_buckets // (len(cuts) + 1))  # of a range, by the anchor: the bounded sample splits only so finely
 
     def ask(t: pa.Table) -> pa.Table:
-        rows = list(keycount.request(t["bucket"][0].as_py(), Bucket(t).keys(), parts))
+        rows = list(keycount.request(t["bucket"][0].as_py(), Bucket(t).keys(), ranges))
         C.trim()
         return keycount.request_table(rows)
 
     def sorted_suffixes(t: pa.Table, answers: pa.Table):
+        """The bucket's distinct suffixes in the order of their parts, and of which of them each record is one."""
         bucket = Bucket(t)
-        rows, ids, low, count = bucket.suffixes(answers, parts)
+        rows, ids, low, count = bucket.suffixes(answers, ranges)
         order, starts = multikey(rows)
         unique = rows[order[starts]]
-        bounds = np.concatenate([[0], np.searchsorted(np.ascontiguousarray(unique[:, :16]).view("S16").ravel(), cuts), [len(unique)]])
-        return bucket, ids, low, count, order, starts, unique, bounds
+        part = np.searchsorted(cuts, np.ascontiguousarray(unique[:, :16]).view("S16").ravel(), side="right").astype(np.int64)
+        if shares > 1:
+            anchor = np.ascontiguousarray(unique[:, :ANCHOR]).view(U64).reshape(-1, ANCHOR // 8)
+            part = part * shares + (C.mix(anchor[:, 0] ^ C.mix(anchor[:, 1] ^ C.mix(anchor[:, 2]))) % U64(shares)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        member = np.empty(len(rows), np.int64)
+        member[order] = np.repeat(rank, np.diff(np.append(starts, len(order))))
+        smallest = np.minimum.reduceat(ids[order], starts)[by] if len(starts) else ids
+        return bucket, ids, low, count, member, unique[by], smallest, part[by]
 
     def send(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(t):
             return SUFFIXES.empty_table()
-        _, ids, _, _, order, starts, unique, bounds = sorted_suffixes(t, answers)
-        smallest = np.minimum.reduceat(ids[order], starts) if len(starts) else ids
-        full = [k for k in range(len(bounds) - 1) if bounds[k] < bounds[k + 1]]
-        number = t["bucket"][0].as_py()
+        *_, unique, smallest, part = sorted_suffixes(t, answers)
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        spans = [slice(a, b) for a, b in zip(first, [*first[1:], len(part)], strict=True)] if len(first) else []
         C.trim()
         return pa.table(
             {
-                "bucket": pa.array([number] * len(full), pa.int32()),
-                "part": pa.array(full, pa.int32()),
-                "rows": C.binaries([pack(unique[bounds[k] : bounds[k + 1]]) for k in full]),
-                "docs": C.binaries([pack(smallest[bounds[k] : bounds[k + 1]]) for k in full]),
+                "bucket": pa.array([t["bucket"][0].as_py()] * len(first), pa.int32()),
+                "part": pa.array(part[first], pa.int32()),
+                "rows": C.binaries([_pack(unique[x]) for x in spans]),
+                "docs": C.binaries([_pack(smallest[x]) for x in spans]),
             },
             schema=SUFFIXES,
         )
 
-    def answer(t: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(zstandard.decompress(x), np.uint8).reshape(-1, ROW) for x in t["rows"].to_pylist()]
-        docs = [np.frombuffer(zstandard.decompress(x), np.int64) for x in t["docs"].to_pylist()]
-        least = least_documents(np.concatenate(rows), np.concatenate(docs))
-        at, blobs = 0, []
-        for r in rows:
-            n = int((r[:, WINDOW + LEFT].astype(np.int64) - r[:, WINDOW + LEFT + 1] + 1).sum())
-            blobs.append(pack(least[at : at + n]))
-            at += n
-        C.trim()
-        return pa.table({"bucket": t["bucket"], "kind": pa.array([1] * len(t), pa.int32()), "part": t["part"], "classes": C.binaries(blobs)})
-
     def cut(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(t):  # answers come only to buckets that asked
             return finish(t, Bucket(t), np.empty(0, bool))
         kind = answers["kind"].to_numpy()
-        bucket, ids, low, count, order, starts, unique, bounds = sorted_suffixes(t, answers.filter(pa.array(kind == 0)))
+        bucket, ids, low, count, member, unique, _, _ = sorted_suffixes(t, answers.filter(pa.array(kind == 0)))
         back = answers.filter(pa.array(kind == 1))
         blobs = [b for _, b in sorted(zip(back["part"].to_pylist(), back["classes"].to_pylist(), strict=True))]
         least = np.frombuffer(b"".join(zstandard.decompress(b) for b in blobs), np.int64)
-        of_unique = count[order[starts]]
+        of_unique = _windows(unique)
         if len(least) != of_unique.sum():
             raise ValueError("the bucket's suffixes differ from those that were compared")
         first = np.cumsum(of_unique) - of_unique
-        member = np.empty(len(count), np.int64)
-        member[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
         inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         gone = least[np.repeat(first[member], count) + inside] < np.repeat(ids, count)
         steps = np.zeros(len(bucket.data) + 1, np.int32)
@@ -325,9 +382,9 @@ def _deduplicated(plain: DataFrame, finish, out) -> DataFrame:
         C.trim()
         return out_rows
 
-    classes = keycount.count(dealt.groupBy("bucket").applyInArrow(ask, keycount.REQUEST))
+    classes = keycount.count(dealt.groupBy("bucket").applyInArrow(ask, keycount.REQUEST), ranges)
     sent = dealt.groupBy("bucket").cogroup(classes.groupBy("bucket")).applyInArrow(send, SUFFIXES_DDL)
-    answered = sent.groupBy("part").applyInArrow(answer, ANSWER)
+    answered = _answered(sent, n_buckets)
     both = classes.select("bucket", F.lit(0).alias("kind"), "part", "classes").union(answered)
     return dealt.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(cut, out)
 

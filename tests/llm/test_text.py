@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from keystrata.llm import common as C
-from keystrata.llm import jaccard_join, licenses, paragraphs, quality, suffix_dedup
+from keystrata.llm import jaccard_join, keycount, licenses, paragraphs, quality, suffix_dedup
 from keystrata.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -230,6 +230,42 @@ def test_suffix_dedup(docs, rows):
         assert sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_removed
 
 
+def test_suffix_dedup_in_groups_of_buckets(docs, rows, monkeypatch):
+    """As on a corpus of many TB: keys and suffixes go through groups of buckets, and ranges are shared out by anchors."""
+    want = Counter((i, len(b), sum(gone)) for (i, _), (gone, b) in zip(rows, brute_spans(rows), strict=True))
+    real = suffix_dedup._splitters
+    monkeypatch.setattr(C, "BUCKET_BYTES", 2e4)
+    for fan, sample in ((4, 32_000_000), (2, 30_000)):
+        monkeypatch.setattr(keycount, "FAN", fan)
+        monkeypatch.setattr(suffix_dedup, "_splitters", lambda d, t, p, sample=sample: real(d, t, p, sample)[:: 1 if sample > 1e6 else 9])
+        got = suffix_dedup.repeated_spans(docs).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed) for r in got) == want
+
+
+def test_key_counts_in_groups(spark):
+    rng = np.random.default_rng(2)
+    keys = {b: rng.choice(rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2), 200) for b in range(13)}
+    for k in keys.values():
+        k[:3] = [5, 1 << 62, (1 << 64) - 1]
+    total = Counter(int(x) for k in keys.values() for x in k)
+    for parts, fan in ((16, 64), (64, 8), (64, 4)):
+        ranges = keycount.Ranges(parts, min(parts, fan))
+        rows = [tuple(r[c] for c in ("bucket", "part", "keys", "counts")) for b, k in keys.items() for r in keycount.request(b, k, ranges)]
+        answers = keycount.count(spark.createDataFrame(rows, keycount.REQUEST), ranges).toArrow()
+        for b, k in keys.items():
+            own = keycount.Answers(answers.filter(pa.array(answers["bucket"].to_numpy() == b)), k, ranges).of(k)
+            assert own.tolist() == [(total[int(x)] - 1).bit_length() for x in k]
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(k if k < 50 else -1, k) for k in range(400)], "u long, v long")
+    table = rows.groupBy("u").agg(C.F.max("v").alias("m"), C.F.count("*").alias("n"))
+    want = Counter(tuple(r) for r in rows.join(table, "u").collect())
+    for share in (1, 2, 10_000):
+        got = C.spread_join(rows, table, "u", "v", "n", 400, share)
+        assert got.columns == ["u", "v", "m", "n"] and Counter(tuple(r) for r in got.collect()) == want
+
+
 def test_suffix_dedup_periodic_and_shifted(spark):
     base = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(300))
     rows = [(0, base), (1, "x" + base[10:59]), (2, "x" + base[10:60]), (3, "a" * 200), (4, "a" * 49), (5, "a" * 50), (6, "ab" * 100), (7, "b" + "ab" * 30 + base[100:180] + "é" * 30), (8, "é" * 40), (9, base[40:95] + base[200:260]), (9, base[40:95])]
