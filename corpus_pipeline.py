@@ -41,7 +41,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = common.rewritten(stage(spark, docs, sf_dir))
+        path = common.written(stage(spark, docs, sf_dir))
+        if before:
+            common.discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
