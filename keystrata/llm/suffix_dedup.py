@@ -451,4 +451,4 @@ def _whole_characters(data: np.ndarray, removed: np.ndarray) -> str:
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
