@@ -103,9 +103,10 @@ def pow2_at_least(n: float) -> int:
 
 def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
     """(doc_id, text) with the bucket of the id.  A bucket is a few MB of text and is always the same rows, so a
-    later step can send an answer to it and have it recomputed after a loss.  Hot texts or sources do not matter:
-    only the id decides."""
-    return docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_buckets)).cast("int"))
+    later step can send an answer to it and have it recomputed after a loss.  Hot texts or sources do not matter: the id
+    decides, and among rows with one id the length; rows without an id are dealt by their text."""
+    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), nameless), F.lit(n_buckets)).cast("int"))
 
 
 # ---------------------------------------------------------------- numpy: texts to words
@@ -209,13 +210,24 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word: np.ndarray, lower: boo
     return Words(data, starts, ends, span_hashes(data, starts, ends), first)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span (equal spans, equal hashes; lengths count, as no digit is 0)."""
-    up, down = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, U64)
-    sums[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """64-bit hash of each byte span (equal spans, equal hashes; lengths count, as no digit is 0).
+
+    Spans come in order and do not overlap.  They are taken about ``piece`` bytes at a time, so the running sums, 32 bytes
+    for each byte, do not grow with a very long text."""
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + piece, side="right")))
+        n = int(ends[j - 1]) - a
+        up, down = powers(n + 1)
+        sums = np.empty(n + 1, U64)
+        sums[0] = 0
+        np.cumsum((data[a : a + n].astype(U64) + U64(1)) * up[:n], out=sums[1:])
+        begin = starts[i:j] - a
+        out[i:j] = mix((sums[ends[i:j] - a] - sums[begin]) * down[begin])
+        i = j
+    return out
 
 
 #: Odd multipliers that make a window's hash depend on the order of its words.

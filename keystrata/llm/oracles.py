@@ -38,8 +38,9 @@ COMPONENTS = rf"""WITH RECURSIVE listed AS (SELECT doc_id, regexp_extract_all({L
  SELECT s.doc_id, len(s.held) AS n_shingles, min(r.b) AS component_id FROM shingles s JOIN reach r ON r.a = s.doc_id GROUP BY ALL"""
 
 REPEATS = """WITH texts AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
- windows AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM texts, unnest(range(greatest(CAST(length(h) // 2 - 49 AS BIGINT), 0))) AS x(p)),
- gone AS (SELECT doc_id, p FROM windows JOIN (SELECT w, min(doc_id) AS least FROM windows GROUP BY w HAVING count(DISTINCT doc_id) > 1) USING (w) WHERE least < doc_id),
+ windows AS MATERIALIZED (SELECT doc_id, CAST(p AS INTEGER) AS p, hash(substr(h, 2 * p + 1, 100)) AS k FROM texts, unnest(range(greatest(CAST(length(h) // 2 - 49 AS BIGINT), 0))) AS x(p)),
+ several AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM windows JOIN (SELECT k FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)) USING (k) JOIN texts USING (doc_id)),
+ gone AS (SELECT doc_id, p FROM several JOIN (SELECT w, min(doc_id) AS least FROM several GROUP BY w) USING (w) WHERE least < doc_id),
  opened AS (SELECT *, CASE WHEN p <= lag(p) OVER here + 50 THEN 0 ELSE 1 END AS opens FROM gone WINDOW here AS (PARTITION BY doc_id ORDER BY p)),
  spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM opened) GROUP BY doc_id, run),
  kept AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head

@@ -66,6 +66,30 @@ def test_words(texts):
     assert len(set(windows)) == len(set(h.tolist()))
 
 
+def test_hashes_by_pieces_are_the_same():
+    """A very long text is hashed piece by piece; a word may be longer than a piece."""
+    text = "x" * 5000 + " " + " ".join(f"wörd{k % 97}" for k in range(3000)) + " " + "y" * 3000
+    data, offsets = C.text_buffers(pa.array([text]))
+    w = C.words_of(data, offsets, C.WORD_SPACE, lower=False)
+    for piece in (1, 100, 1000, 10**6):
+        assert (C.span_hashes(w.data, w.starts, w.ends, piece) == w.hashes).all()
+
+
+def test_very_long_texts(spark):
+    """One text of some MB among short ones, in the operators that take a document at once."""
+    long = "\n".join(" ".join(f"w{i * 7919 % 1_000_003}" for i in range(k * 50, k * 50 + 50)) for k in range(8000))
+    table = spark.createDataFrame([(1, long), (2, "short one"), (3, long[:2000]), (4, long + " more")], ROWS)
+    judged = {r.doc_id: r.n_words for r in quality.judge(table).collect()}
+    assert judged[1] == 400_000 and judged[4] == 400_001
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(table).collect()}
+    assert found[4][1] == 1 and found[3][1] == 3 and abs(found[1][0] - found[4][0]) <= 1
+    assert {r.doc_id: r.n_words for r in licenses.scan(table).collect()}[1] == 400_000
+    gone = {r.doc_id: r.n_removed for r in suffix_dedup.repeated_spans(table).collect()}
+    assert gone == {1: 0, 2: 0, 3: 2000, 4: len(long)}
+    repeated = {(r.doc_id, r.removed) for r in paragraphs.repeated_paragraphs(table, passage=50, short=True).select("doc_id", "removed").distinct().collect()}
+    assert {(1, False), (3, True), (4, True)} <= repeated and 2 not in {i for i, _ in repeated}
+
+
 def test_quality(docs, rows):
     got = Counter()
     for r in quality.judge(docs).collect():
@@ -419,7 +443,7 @@ def test_wrapped_licenses(spark):
     rows = [
         (0, mit),
         (1, "Copyright X\n\n" + bsd + "\n1. more"),
-        (2, "\n".join(licenses.TEMPLATES[3][1].split())),
+        (2, "\n".join(next(t for x, t in licenses.TEMPLATES if x == "mit" and t.endswith("files")).split())),
         (3, " * " + mit.replace("\n", "\r\n *\n * ")),
         (4, mit.replace("\n", "\n" + "between " * 30 + "\n")),
         (5, mit.split("\n")[0]),
