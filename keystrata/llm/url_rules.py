@@ -4,7 +4,7 @@ List rules name a host (with all subdomains) and a path prefix; the longest that
 one hash lookup for each pair of a host suffix and a rule-path length, in DataFrame functions.
 
 URLs that no list rule decides get the verdict of mined rules.  Spark's FP-growth finds combinations of URL tokens
-that occur often in labelled URLs together with a label; rules are kept by confidence, by support, and only if no rule
+that occur often in URLs labelled by people or by their content together with a label; rules are kept by confidence, by support, and only if no rule
 with fewer tokens is as good.  They match by an inverted index: a rule stands under its rarest token, so a URL looks at
 the few rules that stand under its own tokens.  The best rule (confidence, support, tokens) gives the verdict; a URL
 that none fits is allowed.
@@ -169,20 +169,21 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None, rules: tuple[ListRule
     (page_id, url).
 
     labels (doc_id, quality, toxic): a page whose id it holds is labelled block if toxic or of quality 0 in any row,
-    else allow; pages that a list rule decides are labelled by it.  Null or odd urls have an empty host and path, fit no
-    list rule and are allowed unless a mined rule fits.  Rows alike are judged each; an empty table gives no rows."""
+    else allow; without labels nothing is mined.  What the list decides is no label: its verdicts are chosen by the very
+    tokens that the miner would find, and rules learned from them reach beyond the list.  Null or odd urls have an empty
+    host and path, fit no list rule and are allowed unless a mined rule fits.  Rows alike are judged each; an empty table
+    gives no rows."""
     pages = C.pick(pages, page_id="page_id", url="url")
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     name, verdict = list_rule(F.col("host"), F.col("path"), rules)
     known = split.withColumn("rule", name).withColumn("listed", verdict)
     known = known.withColumn("tokens", tokens(F.col("host"), F.col("path"), F.coalesce("url", F.lit(""))))
-    labelled = known.select(F.col("page_id").alias("id"), "tokens", F.col("listed").alias("label"))
+    mined: tuple[MinedRule, ...] = ()
     if labels is not None:
         given = C.pick(labels, doc_id="doc_id", quality="quality", toxic="toxic").groupBy("doc_id").agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
-        given = given.where("doc_id IS NOT NULL AND bad IS NOT NULL").select(F.col("doc_id").alias("id"), F.when(F.col("bad") == 1, "block").otherwise("allow").alias("given"))
-        labelled = labelled.join(given, "id", "left").select("id", "tokens", F.coalesce("label", "given").alias("label"))
-    mined = mine(labelled, **mining)
+        given = given.where("doc_id IS NOT NULL AND bad IS NOT NULL").select(F.col("doc_id").alias("id"), F.when(F.col("bad") == 1, "block").otherwise("allow").alias("label"))
+        mined = mine(known.select(F.col("page_id").alias("id"), "tokens").join(given, "id"), **mining)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = RuleIndex(mined)

@@ -176,7 +176,9 @@ def test_verdicts_of_the_method(spark, small):
     """Whole verdicts on pages: mined rules and matches against counting all combinations."""
     pages = spark.read.parquet(f"{small}/pages.parquet")
     pages = pages.union(pages.selectExpr("page_id + 10000", "replace(replace(url, '/en/', '/es/'), '.com', '.net')", "html"))
-    labels = spark.read.parquet(f"{small}/labels.parquet")
+    # labels that URLs can tell: three of four pages under /es/ are bad, all of www ones, and some by chance
+    bad_if = "(url LIKE '%/es/%' AND page_id % 4 > 0) OR url LIKE '%//www.%' OR page_id % 11 = 0"
+    labels = pages.where("page_id % 3 > 0").selectExpr("page_id AS doc_id", f"cast({bad_if} AS int) AS toxic", "1 AS quality")
     bad = {}
     for r in labels.collect():
         bad[r.doc_id] = bad.get(r.doc_id, False) or r.toxic == 1 or r.quality == 0
@@ -185,18 +187,20 @@ def test_verdicts_of_the_method(spark, small):
     got = {r.page_id: r for r in url_rules.judge_urls(pages, labels).collect()}
     baskets = []
     for i, found in seen.items():
-        label = got[i].verdict if got[i].rule else {True: "block", False: "allow"}.get(bad.get(i))
+        label = {True: "block", False: "allow"}.get(bad.get(i))
         if label:
             baskets.append((found, label))
     rules = brute_rules(baskets)
     assert rules and any(r[4] == "block" for r in rules)
-    mined = 0
+    mined = blocked = 0
     for i, found in seen.items():
         if not got[i].rule:
             fit = next((r for r in rules if set(r[3]) <= found), None)
             assert (got[i].verdict, got[i].mined) == ((fit[4], " ".join(fit[3])) if fit else ("allow", None))
             mined += fit is not None
-    assert mined
+            blocked += got[i].verdict == "block"
+    assert mined and blocked
+    assert {r.verdict for r in url_rules.judge_urls(pages, None).where("rule IS NULL").collect()} == {"allow"}
 
 
 @settings(max_examples=40, deadline=None)
