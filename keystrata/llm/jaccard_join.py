@@ -378,6 +378,7 @@ def _labelled(blocks: DataFrame, labels: DataFrame, once: bool) -> DataFrame:
 def cluster(blocks: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int, files: int, small_sets: bool = False) -> DataFrame:
     """(node, label): components of the sets (members: doc_id, n, keys, docs) that share a block (key, doc) and reach the
     threshold, together with links (a, b) that are known."""
+    blocks = C.cut(blocks, files)
     pairs = C.cut(_star_pairs(blocks), files)
     links = C.cut(links.union(_verify(pairs, members, num, den)), files)
     labels = C.cut(components(links, files), files)
