@@ -24,13 +24,15 @@ def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """edges (a, b) of longs, in any direction, repeated or looped as may be: (node, label) for every node with an edge
     to another, label being the smallest node of its component.  No edges: no rows."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), files)
+    both_ways = lambda u, v: F.explode(F.array(F.struct(F.col(u).alias("u"), F.col(v).alias("v")), F.struct(F.col(v).alias("u"), F.col(u).alias("v")))).alias("e")
     while not _is_forest_of_stars(e):
         n = 2 * e.count()
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(both_ways("u", "v")).select("e.*")
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = spread_join(both, least, "u", "v", "n", n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(spread_join(both, least, "u", "v", "n", n, files).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), files)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        linked = spread_join(large, least, "u", "v", "n", n)
-        e = cut(linked.select("u", F.col("m").alias("v")).union(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), files)
+        linked = spread_join(large, least, "u", "v", "n", n, files)
+        to_least = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        e = cut(linked.select(to_least).select("e.*").where("u <> v").distinct(), files)
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label")))

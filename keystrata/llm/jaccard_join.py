@@ -248,14 +248,14 @@ def _verify(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFra
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _star_pairs(blocks: DataFrame) -> DataFrame:
+def _star_pairs(blocks: DataFrame, files: int) -> DataFrame:
     """(a, b): a block's members with two of them, the smallest and one by chance.  blocks: key, doc.
 
     Of a cluster of near copies, which share most blocks, nearly all get linked this way, with a number of pairs in
     proportion to the blocks' rows."""
     pivots = blocks.groupBy("key").agg(F.min("doc").alias("p"), F.min_by("doc", F.xxhash64("doc")).alias("q"), F.count("*").alias("n"))
     pivots = pivots.where("n > 1").select("key", "n", F.explode(F.array_distinct(F.array("p", "q"))).alias("a"))
-    met = C.spread_join(blocks, pivots, "key", "doc", "n", blocks.count()).where("a <> doc")
+    met = C.spread_join(blocks, pivots, "key", "doc", "n", blocks.count(), files).where("a <> doc")
     return met.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
 
 
@@ -268,7 +268,7 @@ def _bit_sketches(sets: Sets, chosen: np.ndarray, bits: int = 2048) -> list[byte
     return out
 
 
-def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, small_sets: bool, chunk: int = 4096) -> DataFrame:
+def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, small_sets: bool, files: int, chunk: int = 4096) -> DataFrame:
     """(a, b): members of one block whose components differ, whose sizes fit and whose bit sketches are no further
     apart than the threshold allows.  With small_sets the sets travel along, and only pairs that reach the threshold
     and join components that no pair before has joined leave a unit of work: fewer than it has members.
@@ -282,7 +282,7 @@ def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, small_set
     sized = blocks.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"), F.count("*").alias("members_here"))
     known = members.select(F.col("doc_id").alias("doc"), F.col("n"), F.col("docs").alias("sketch"), *([F.col("keys").alias("members")] if small_sets else []))
     more = ["members"] if small_sets else []
-    dealt = C.spread_join(blocks, sized, "key", "doc", "members_here", total).join(known, "doc").withColumn("c", F.pmod(F.xxhash64("doc"), "k").cast("int"))
+    dealt = C.spread_join(blocks, sized, "key", "doc", "members_here", total, files).join(known, "doc").withColumn("c", F.pmod(F.xxhash64("doc"), "k").cast("int"))
     units = dealt.select("key", "doc", "label", "n", "sketch", *more, "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     cells = max(C.shuffle_partitions(spark), int(total / 20_000) + 1)
     units = units.select(F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "key", "doc", "label", "n", "sketch", *more)
@@ -362,7 +362,7 @@ def _across(blocks: DataFrame, members: DataFrame, num: int, den: int, small_set
     return units.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _labelled(blocks: DataFrame, labels: DataFrame, once: bool) -> DataFrame:
+def _labelled(blocks: DataFrame, labels: DataFrame, once: bool, files: int) -> DataFrame:
     """Blocks whose members are of several components still; with ``once``, of blocks with the same members only one
     (told by 128 bits of XORed hashes and their number)."""
     named = blocks.join(labels, blocks.doc == labels.node, "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
@@ -372,17 +372,17 @@ def _labelled(blocks: DataFrame, labels: DataFrame, once: bool) -> DataFrame:
     mixed = named.groupBy("key").agg(*ends).where("x <> y")
     if once:
         mixed = mixed.groupBy("n", "h", "i").agg(F.min("key").alias("key"))
-    return C.spread_join(named, mixed.select("key", "n"), "key", "doc", "n", blocks.count()).drop("n")
+    return C.spread_join(named, mixed.select("key", "n"), "key", "doc", "n", blocks.count(), files).drop("n")
 
 
 def cluster(blocks: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int, files: int, small_sets: bool = False) -> DataFrame:
     """(node, label): components of the sets (members: doc_id, n, keys, docs) that share a block (key, doc) and reach the
     threshold, together with links (a, b) that are known."""
     blocks = C.cut(blocks, files)
-    pairs = C.cut(_star_pairs(blocks), files)
+    pairs = C.cut(_star_pairs(blocks, files), files)
     links = C.cut(links.union(_verify(pairs, members, num, den)), files)
     labels = C.cut(components(links, files), files)
-    rest = _across(C.cut(_labelled(blocks, labels, small_sets), files), members, num, den, small_sets)
+    rest = _across(C.cut(_labelled(blocks, labels, small_sets, files), files), members, num, den, small_sets, files)
     more = C.cut(rest if small_sets else _verify(rest.join(pairs, ["a", "b"], "left_anti"), members, num, den), files)
     return C.cut(components(links.union(more), files), files) if more.head(1) else labels
 

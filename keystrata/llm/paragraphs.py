@@ -234,7 +234,7 @@ def repeated_paragraphs(docs: DataFrame, num: int = 75, den: int = 100, recall:
     named = C.cut(places.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node"), files)
     first = named.groupBy("label").agg(F.min(F.struct("doc", "line", "start")).alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
     first = first.where("first.doc <> last").select("label", "n", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"), F.col("first.start").alias("first_start"))
-    out = C.spread_join(named, first, "label", "doc", "n", named.count())
+    out = C.spread_join(named, first, "label", "doc", "n", named.count(), files)
     real = lambda c: F.when(F.col(c) != C.NULL_ID, F.col(c))
     removed = (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")) | (F.col("start") != F.col("first_start"))
     return out.select(real("doc").alias("doc_id"), "line", "start", "n_bytes", "n_words", real("first_doc").alias("first_doc_id"), "first_line", removed.alias("removed"))

@@ -286,7 +286,7 @@ def test_spread_join(spark):
     table = rows.groupBy("u").agg(C.F.max("v").alias("m"), C.F.count("*").alias("n"))
     want = Counter(tuple(r) for r in rows.join(table, "u").collect())
     for share in (1, 2, 10_000):
-        got = C.spread_join(rows, table, "u", "v", "n", 400, share)
+        got = C.spread_join(rows, table, "u", "v", "n", 400, share=share)
         assert got.columns == ["u", "v", "m", "n"] and Counter(tuple(r) for r in got.collect()) == want
 
 
