@@ -72,16 +72,16 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, count: str, total: int, files: int | None = None, share: int = 256) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, count: str, total: int, share: int = 256) -> DataFrame:
     """rows joined with table, which has one or few rows for a key and says in ``count`` how many of the ``total`` rows
-    hold it.  Keys that hold a ``share``-th of all rows or more, ``share`` at most, are dealt to all tasks by the column
-    ``by``, with a copy of their rows of table for each; so no task gets more than its part of one key."""
-    table = cut(table, files)
-    hot = [r[0] for r in table.where(F.col(count) * share >= total).select(key).distinct().head(share)]
-    if not hot:
-        return rows.join(table, key)
-    ways, is_hot = shuffle_partitions(rows.sparkSession), F.col(key).isin(hot)
-    dealt = rows.withColumn("_way", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(ways))).otherwise(F.lit(0)).cast("int"))
+    hold it.  Keys that hold a ``share``-th of all rows or more, which can only be ``share`` many and are broadcast, are
+    dealt to all tasks by the column ``by``, with a copy of their rows of table for each; so no task gets more than its
+    part of one key."""
+    ways = shuffle_partitions(rows.sparkSession)
+    is_hot = F.col(count) * share >= total
+    hot = table.where(is_hot).select(F.col(key).alias("_hot")).distinct()
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = dealt.withColumn("_way", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(ways))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     copies = table.withColumn("_way", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(ways - 1)).otherwise(F.lit(0)))))
     return dealt.join(copies, [key, "_way"]).drop("_way")
 

@@ -29,9 +29,9 @@ def components(edges: DataFrame, files: int | None = None) -> DataFrame:
         n = 2 * e.count()
         both = e.select(both_ways("u", "v")).select("e.*")
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = cut(spread_join(both, least, "u", "v", "n", n, files).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), files)
+        large = cut(spread_join(both, least, "u", "v", "n", n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), files)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        linked = spread_join(large, least, "u", "v", "n", n, files)
+        linked = spread_join(large, least, "u", "v", "n", n)
         to_least = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         e = cut(linked.select(to_least).select("e.*").where("u <> v").distinct(), files)
     roots = e.select(F.col("v").alias("node")).distinct()

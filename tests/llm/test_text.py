@@ -379,6 +379,27 @@ def test_paragraphs_inside_lines(spark):
         assert all(any(a + 30 <= e <= a + 50 for e in ends) for a in range(len(passage) - 49))
 
 
+def test_recall_of_repeated_passages(docs, rows):
+    """Of all runs of 50 words or more that another document holds, wherever they begin, nine of ten at least are met."""
+    own = {i: [(m[0], len(lower(t)[: m.start()].encode()), len(lower(t)[: m.end()].encode())) for m in WORD.finditer(lower(t))] for i, t in rows if t and i is not None}
+    holders = defaultdict(set)
+    for i, words in own.items():
+        for k in range(len(words) - 49):
+            holders[tuple(w for w, *_ in words[k : k + 50])].add(i)
+    found = defaultdict(list)
+    for r in paragraphs.repeated_paragraphs(docs, passage=50, short=True).collect():
+        found[r.doc_id].append((r.start, r.start + r.n_bytes))
+    met = runs = 0
+    for i, words in own.items():
+        shared = [k for k in range(len(words) - 49) if len(holders[tuple(w for w, *_ in words[k : k + 50])]) > 1]
+        for x, k in enumerate(shared):
+            if not x or shared[x - 1] != k - 1:
+                end = next((shared[y] for y in range(x, len(shared)) if y + 1 == len(shared) or shared[y + 1] != shared[y] + 1), k) + 49
+                runs += 1
+                met += any(a < words[end][2] and b > words[k][1] for a, b in found[i])
+    assert runs > 20 and met >= 0.9 * runs
+
+
 def test_short_documents_are_paragraphs(spark):
     near = [f"n{k}" for k in range(19)]
     rows = [(0, "one"), (1, " ONE\n"), (2, "one two"), (3, "two one"), (4, "one\ntwo"), (5, "a b c d"), (6, "a b c d e"), (7, "A b c\nd e"), (8, " ".join(near)), (9, " ".join([*near[:-1], "x"])), (10, "alone is not repeated"), (11, "one"), (12, ""), (13, None), (14, "a b c d " + "z " * 20)]
