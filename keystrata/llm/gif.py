@@ -320,10 +320,13 @@ def composed(gif: Gif) -> Iterator[tuple[int, Frame, np.ndarray]]:
 
 
 def histogram(rgba: np.ndarray, bins: int = 4) -> np.ndarray:
-    """Visible pixels by colour, bins to a channel."""
-    seen = rgba.reshape(-1, 4)
-    seen = seen[seen[:, 3] > 0][:, :3] // (256 // bins)
-    return np.bincount((seen[:, 0].astype(np.int64) * bins + seen[:, 1]) * bins + seen[:, 2], minlength=bins**3)
+    """Visible pixels by colour, bins (a power of two) to a channel."""
+    pixel = np.ascontiguousarray(rgba).view("<u4").ravel()
+    width, shown = bins.bit_length() - 1, pixel >= 1 << 24  # alpha is the highest byte
+    if not shown.all():
+        pixel = pixel[shown]
+    red, green, blue = (pixel >> np.uint32(8 * (c + 1) - width) & np.uint32(bins - 1) for c in range(3))
+    return np.bincount(red << np.uint32(2 * width) | green << np.uint32(width) | blue, minlength=bins**3)
 
 
 # ---------------------------------------------------------------- media columns
@@ -373,7 +376,8 @@ def payload_of(gif: Gif) -> bytes:
 
 def text_media(docs: DataFrame, keep: bool = True) -> DataFrame:
     """docs (doc_id, text) stored as GIFs and read back: sizes and digests of payload and media, frames, length in
-    time, the colour histogram (``BINS`` to a channel) of all frames as they are shown, and the media itself if keep.
+    time, the colour histogram (``BINS`` to a channel; ``colours`` names the filled bins) of all frames as they are shown, and the
+    media itself if keep.
 
     A null text is an empty one; equal texts give equal rows but for the id; rows with one id are stored each on its
     own; an empty table gives no rows."""
@@ -402,21 +406,23 @@ def text_media(docs: DataFrame, keep: bool = True) -> DataFrame:
                     rows["media_sha256"].append(hashlib.sha256(media).hexdigest())
                     rows["n_frames"].append(len(gif.frames))
                     rows["length_cs"].append(sum(f.delay for f in gif.frames))
-                    rows["histogram"].append(colours)
+                    filled = np.flatnonzero(colours)
+                    rows["colours"].append(filled)
+                    rows["histogram"].append(colours[filled])
                     rows["media"].append(media if keep else None)
                 yield pa.RecordBatch.from_pydict(rows, schema)
             C.trim()
 
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64())]
-        + [("media_sha256", pa.string()), ("n_frames", pa.int32()), ("length_cs", pa.int32()), ("histogram", pa.list_(pa.int64())), ("media", pa.binary())]
+        + [("media_sha256", pa.string()), ("n_frames", pa.int32()), ("length_cs", pa.int32()), ("colours", pa.list_(pa.int64())), ("histogram", pa.list_(pa.int64())), ("media", pa.binary())]
     )
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, length_cs int, histogram array<long>, media binary"
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, length_cs int, colours array<long>, histogram array<long>, media binary"
     return C.pick(docs, doc_id="doc_id", text="text").mapInArrow(run, ddl)
 
 
 def op5_gif_media(spark, sf_dir: str) -> DataFrame:
     rows = text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False)
-    filled = "filter(transform(histogram, (n, i) -> IF(n > 0, concat(i, ':', n), NULL)), x -> x IS NOT NULL)"
+    filled = "transform(arrays_zip(colours, histogram), x -> concat(x.colours, ':', x.histogram))"
     feature = f"concat_ws(';', concat('frames=', n_frames), concat('cs=', length_cs), concat('colours=', concat_ws(',', {filled}))) AS feature"
     return rows.selectExpr("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)

@@ -358,7 +358,8 @@ def test_text_media(spark):
     assert len({r.media_sha256 for r in got if r.doc_id in (3, 5)}) == 1
     for r in got:
         screens = [x for _, _, x in gif.composed(gif.decode(bytes(r.media)))]
-        assert r.histogram == np.sum([gif.histogram(x, gif.BINS) for x in screens], axis=0).tolist()
+        total = np.sum([gif.histogram(x, gif.BINS) for x in screens], axis=0)
+        assert r.colours == np.flatnonzero(total).tolist() and r.histogram == total[total > 0].tolist()
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and sum(r.histogram) == r.payload_bytes
     frames = gif.frames(spark.createDataFrame([(1, bytearray(got[3].media)), (2, None)], "id long, media binary")).collect()
     assert len(frames) == got[3].n_frames and [f.time_cs for f in sorted(frames, key=lambda f: f.frame)] == [10 * k for k in range(len(frames))]
