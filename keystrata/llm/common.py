@@ -56,6 +56,21 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
         spark.sparkContext._jvm.System.gc()
 
 
+#: Text that a batch of rows for Python may hold, and the setting for it.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of about ``BATCH_BYTES``, from now on in this session, unless it names a bound itself.
+
+    Spark's own are 10,000 rows or 64 MB: of texts, some 30 MB for each task, which the JVM holds off its heap in buffers of
+    powers of two, grown by copying, and keeps part of; Python holds the batch a second time.  Frames are run after they
+    are returned, so the setting stays; it changes no result."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def written(df: DataFrame) -> str:
     """Path of df as Parquet in the shared folder."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4()}.parquet"

@@ -1,7 +1,8 @@
 """The operators as steps of a document pipeline: documents in, documents out.
 
 A step keeps all columns, whatever their names, and takes the rows that its operator keeps.  Rows are matched by place,
-not by id, where an id may repeat.
+not by id, where an id may repeat.  Executors live through all steps, so what one leaves in their memory counts in the
+next: each step has rows handed to Python in small batches.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ def _id(docs: DataFrame) -> F.Column:
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """Rows that the quality rules keep."""
+    C.bounded_batches(docs.sparkSession)
     return keep(docs)
 
 
@@ -37,6 +39,7 @@ def near_duplicate_stage(docs: DataFrame) -> DataFrame:
 
     Rows with one id stay if they differ in text; of rows equal in both, one stays.  Rows without an id
     cannot be named as anyone's copy and stay."""
+    C.bounded_batches(docs.sparkSession)
     plain, names = _keyed(docs)
     key = f"_{docs.columns.index('doc_id')}"
     named = plain.where(F.col(key).isNotNull()).toDF(*names.values())
@@ -50,12 +53,14 @@ def near_duplicate_stage(docs: DataFrame) -> DataFrame:
 
 def substring_stage(docs: DataFrame) -> DataFrame:
     """Documents without the bytes that repeat an earlier document; a document that loses all its words goes."""
+    C.bounded_batches(docs.sparkSession)
     return without_repeats(docs)
 
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
     """Documents as often as the mix takes them.  What was drawn for several rows with one id, source and number of
     words is dealt out among them, so the words taken are those drawn."""
+    C.bounded_batches(docs.sparkSession)
     drawn = mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
     plain, names = _keyed(docs)
     key, source, text = (F.col(f"_{docs.columns.index(c)}") for c in ("doc_id", "source", "text"))
@@ -71,4 +76,5 @@ def mixing_stage(docs: DataFrame) -> DataFrame:
 
 def packing_stage(docs: DataFrame) -> DataFrame:
     """Where each piece of each document lies in sequences of 4096 tokens."""
+    C.bounded_batches(docs.sparkSession)
     return pack_documents(docs)

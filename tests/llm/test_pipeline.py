@@ -81,6 +81,47 @@ def test_packing(stages):
     assert pieces.groupBy("sequence_id").sum("length").selectExpr("max(`sum(length)`)").first()[0] <= 4096
 
 
+@pytest.mark.parametrize("k", range(len(pipeline.STAGES)))
+def test_batches_are_small(spark, small, stages, k):
+    """A stage's rows reach Python a few MB at a time, however long the texts; a bound of the session's own stays."""
+    import pyarrow as pa
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [len(b)], "n_bytes": [b.nbytes]})
+
+    texts = spark.range(0, 2_000, 1, 1).selectExpr("id", "repeat('some words of a text ', 500) AS text")  # 21 MB
+    own = spark.conf.get(common.BATCH_SETTING, None)
+    try:
+        spark.conf.unset(common.BATCH_SETTING)
+        pipeline.STAGES[k][1](spark, stages[k], small)
+        got = texts.mapInArrow(seen, "rows long, n_bytes long").collect()
+        assert sum(r.rows for r in got) == 2_000
+        assert max(r.n_bytes for r in got) <= 1.1 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH_SETTING, "1000000")
+        pipeline.STAGES[k][1](spark, stages[k], small)
+        assert spark.conf.get(common.BATCH_SETTING) == "1000000"
+    finally:
+        spark.conf.unset(common.BATCH_SETTING) if own is None else spark.conf.set(common.BATCH_SETTING, own)
+
+
+def test_batches_change_no_result(spark, small, stages):
+    """Stages whose groups come in many batches give what they give in one."""
+    own = spark.conf.get(common.BATCH_SETTING, None)
+    try:
+        for k in (0, 1, 2):  # those that decide by content alone
+            got = []
+            for size in ("1000", "67108864"):
+                spark.conf.set(common.BATCH_SETTING, size)
+                got.append(sorted(map(str, pipeline.STAGES[k][1](spark, stages[k], small).collect())))
+            assert got[0] == got[1] and got[0]
+        for k in (3, 4):
+            spark.conf.set(common.BATCH_SETTING, "1000")
+            assert pipeline.STAGES[k][1](spark, stages[k], small).count() == stages[k + 1].count()
+    finally:
+        spark.conf.unset(common.BATCH_SETTING) if own is None else spark.conf.set(common.BATCH_SETTING, own)
+
+
 def test_run(spark, small):
     assert pipeline.run(spark, small).count() > 0
 
