@@ -39,7 +39,7 @@ def merge(runs: DataFrame, order: str = "run", carry: str | None = None) -> Data
 def layered_get(*tiers: DataFrame) -> DataFrame:
     """(key, value, tier) of live keys over tiers, newest first, each with unique keys: the first tier that holds a key
     decides, also when it holds a delete; ``tier`` is its place.  All tiers are read at once; one aggregate takes the
-    place of the cascade."""
+    place of the cascade.  Each tier is a plan of its own: runs of one table go to ``layered_runs``."""
     ranked = [t.select("key", "value", F.lit(-k).alias("tier")) for k, t in enumerate(tiers)]
     stack = ranked[0]
     for t in ranked[1:]:
@@ -47,6 +47,16 @@ def layered_get(*tiers: DataFrame) -> DataFrame:
     return latest(stack, "tier").where("value IS NOT NULL").select("key", "value", (-F.col("tier")).alias("tier"))
 
 
+def layered_runs(runs: DataFrame) -> DataFrame:
+    """(key, value, run) of live keys over all runs as tiers: the newest run that holds a key decides, also when it holds
+    a delete.
+
+    A run's place in the manifest is a column, so the plan is the same for any number of runs; the manifest, a row for
+    each run, goes to all tasks."""
+    ranked = runs.join(F.broadcast(manifest_order(runs).select("run", "ord")), "run")
+    return latest(ranked, "ord", carry="run").where("value IS NOT NULL").select("key", "value", F.col("run").cast("long").alias("run"))
+
+
 def run_get(runs: DataFrame, run: int, key) -> DataFrame:
     """What one run says of a key: no row, a value, or a delete (null)."""
     return runs.where((F.col("run") == run) & (F.col("key") == key)).select("key", "value")

@@ -88,10 +88,7 @@ def manifest_order(spark, d):
 
 def layered_get(spark, d):
     """Each run is a tier, newest first, and a key's value comes with the run that decided."""
-    flushed = cut(fx.runs(spark, d))
-    newest_first = _ordered(flushed)[::-1]
-    found = runs.layered_get(*[flushed.where(F.col("run") == r) for r in newest_first])
-    return found.select("key", "value", F.element_at(F.array(*[F.lit(r).cast("long") for r in newest_first]), F.col("tier") + 1).alias("run"))
+    return runs.layered_runs(cut(fx.runs(spark, d)))
 
 
 def run_get(spark, d):

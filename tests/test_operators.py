@@ -65,6 +65,29 @@ def test_layered_tombstone_hides_older_tier(spark):
     assert as_dict(runs.layered_get(new, old)) == {b"b": b"new", b"c": b"old"}
 
 
+def test_layered_runs_has_one_plan_for_any_number_of_runs(spark):
+    rows = [(r, f"k{(r * 7 + i) % 400}", (r * 37) % 701, None if (r + i) % 5 == 0 else f"v{r}") for r in range(700) for i in range(3)]  # order of seq is not that of runs
+    df = spark.createDataFrame(rows, "run long, key string, seq long, value string")
+    want: dict = {}
+    for r, k, q, v in sorted(rows, key=lambda x: x[2]):
+        want[k] = (v, r)
+    got = runs.layered_runs(df)
+    assert {r.key: (r.value, r.run) for r in got.collect()} == {k: x for k, x in want.items() if x[0] is not None}
+    few = runs.layered_runs(df.where("run < 2"))
+    size = lambda f: f._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert size(got) == size(few) <= 2
+
+
+def test_layered_get_query_reads_runs_as_one_table(spark, tmp_path):
+    from keystrata.plans import queries
+
+    rows = [(i, i % 40, ("view", "error", "click")[i % 3], float(i)) for i in range(200_000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.layered_get(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 2  # not one for each of some 180 runs
+    assert {r.key for r in got.collect()} == {f"user:{u}" for u in range(40) if max(i for i in range(200_000 - 120, 200_000) if i % 40 == u) % 3 != 1}
+
+
 def test_compaction_many_blocks_and_tombstones(spark):
     rng = random.Random(3)
     rows = [(r, f"k{rng.randrange(400):04d}".encode(), None if rng.random() < 0.2 else bytes([rng.randrange(256)]) * rng.randrange(1, 300)) for r in range(9) for _ in range(150)]
