@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,8 @@ from .changelog import record_bytes
 from .ordering import placed
 
 HEADER = 8  # two lengths before each record
+#: ``find_block``: probes that are looked up together, rows of the answer that a task is meant to make, most tasks.
+CHUNK, TASK_ROWS, MOST_TASKS = 1024, 1_000_000, 4000
 
 
 def packed(sizes: np.ndarray, limit: int) -> np.ndarray:
@@ -49,32 +50,37 @@ def block_index(blocked: DataFrame) -> DataFrame:
 def find_block(index: DataFrame, probes: DataFrame) -> DataFrame:
     """(run, key, block): for every probe and run the first block whose last key is not smaller; -1 if there is none.
 
-    Probes and index entries are merged in key order, a range of keys to a task, and of each run the next entry beyond a
-    range is carried to it: neither a run nor all probes are held by one task, and a probe meets one entry of each run.
-    The runs are a manifest, which the driver holds; the answer itself has a row for each probe and run."""
-    kind = {f.name: f.dataType.simpleString() for f in index.schema}
+    Probes and index entries are ranked together by ranges of keys, so an entry is known by the ranks of the probes that
+    it answers: those after the entry before it in its run.  Such spans are cut at every ``CHUNK`` probes and meet the
+    chunk's keys, where they are unfolded row by row: a task holds a chunk of keys and no answers.  The answer has a row
+    for each probe and run, so its number of rows decides how many tasks share it; chunks that are few are copied for
+    as many groups of runs as it takes."""
     entries = index.select(F.col("last_key").alias("key"), "run", F.col("block").cast("long").alias("block"))
-    asked = probes.select("key", F.lit(None).cast(kind["run"]).alias("run"), F.lit(None).cast("long").alias("block")).distinct()
+    asked = probes.select("key", F.lit(None).cast(index.schema["run"].dataType).alias("run"), F.lit(None).cast("long").alias("block")).distinct()
     ranged = cut(entries.unionByName(asked).repartitionByRange("key").withColumn("range", F.spark_partition_id()))
-    runs = [r.run for r in index.select("run").distinct().collect()]
-    first = ranged.where("run IS NOT NULL").groupBy("range", "run").agg(F.min_by("block", "key").alias("block"))
-    grid = ranged.select("range").distinct().select("range", F.explode(F.array(*[F.lit(r) for r in runs]).cast(f"array<{kind['run']}>")).alias("run"))
-    after = Window.partitionBy("run").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = grid.join(first, ["range", "run"], "left").select(F.col("range").alias("at"), "run", F.coalesce(F.last("block", ignorenulls=True).over(after), F.lit(-1)).alias("later"))
-
-    def run(rows: pa.Table, later: pa.Table) -> pa.Table:
-        rows = rows.take(pc.sort_indices(rows, sort_keys=[("key", "ascending"), ("run", "ascending")], null_placement="at_start"))  # a probe before an entry of its key
-        number, block = rows["run"], rows["block"].to_numpy()
-        asks = np.flatnonzero(number.is_null().to_numpy())
-        keys, out = rows["key"].take(pa.array(asks)), []
-        for r, beyond in zip(later["run"], later["later"].to_pylist(), strict=True):
-            own = np.flatnonzero(pc.fill_null(pc.equal(number, r), False).to_numpy())
-            k = np.searchsorted(own, asks)
-            found = np.append(block[own], beyond)[k].astype(np.int64)
-            out.append(pa.table({"run": pa.array([r.as_py()] * len(asks), number.type), "key": keys, "block": found}))
-        return pa.concat_tables(out) if out else pa.table({"run": number[:0], "key": rows["key"][:0], "block": pa.array([], pa.int64())})
-
-    return ranged.groupBy("range").cogroup(carried.groupBy("at")).applyInArrow(run, f"run {kind['run']}, key {kind['last_key']}, block long")
+    asks = F.col("run").isNull()
+    n, nulls, n_runs = ranged.agg(F.count_if(asks), F.count_if(asks & F.col("key").isNull()), F.count_distinct("run")).first()
+    tasks = min(max(-(-n * n_runs // TASK_ROWS), 1), MOST_TASKS)
+    ways = max(1, -(-2 * tasks * CHUNK // max(n, 1))) if tasks > 1 else 1
+
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("range").agg(F.count_if(asks).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row a range
+    here = Window.partitionBy("range").orderBy("key", F.col("run").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)  # a probe before an entry of its key
+    ranked = ranged.withColumn("upto", F.count_if(asks).over(here)).join(F.broadcast(offsets), "range").withColumn("upto", F.col("upto") + F.col("before"))
+
+    keys = ranked.where(asks).groupBy(F.expr(f"(upto - 1) div {CHUNK}").alias("chunk"))
+    keys = keys.agg(F.sort_array(F.collect_list(F.struct("upto", "key"))).alias("found")).select("chunk", F.col("found")["key"].alias("keys"), F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("way"))
+
+    down = Window.partitionBy("run").orderBy(F.desc("key"), "block")
+    own = F.struct(F.lead("upto", 1, nulls).over(down).alias("lo"), F.col("upto").alias("hi"), F.min("block").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("block"))
+    rest = [F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), F.lit(-1).cast("long").alias("block")) for lo, hi in ((F.col("upto"), F.lit(n)), (F.lit(0), F.lit(nulls)))]
+    spans = ranked.where(~asks).repartition(tasks, "run").select("run", F.when(F.row_number().over(down) == 1, F.array(own, *rest)).otherwise(F.array(own)).alias("spans"))
+    spans = spans.select("run", F.inline("spans")).where("lo < hi").withColumn("chunk", F.explode(F.expr(f"sequence(lo div {CHUNK}, (hi - 1) div {CHUNK})")))
+    first = F.greatest(F.col("lo") - F.col("chunk") * CHUNK, F.lit(0))
+    length = F.least(F.col("hi") - F.col("chunk") * CHUNK, F.lit(CHUNK)) - first
+    spans = spans.select("run", "block", "chunk", F.pmod(F.xxhash64("run"), F.lit(ways)).cast("int").alias("way"), first.cast("int").alias("first"), length.cast("int").alias("length"))
+    met = spans.repartition(tasks, "chunk", "way").join(keys.repartition(tasks, "chunk", "way"), ["chunk", "way"])
+    return met.select("run", F.explode(F.slice("keys", F.col("first") + 1, F.col("length"))).alias("key"), "block")
 
 
 def split_files(records: DataFrame, limit: int = FILE_BYTES, *carry: str) -> DataFrame:

@@ -143,6 +143,31 @@ def test_find_block(spark):
     assert got == {(0, "a"): 0, (0, "c"): 0, (0, "d"): 1, (0, "g"): -1, (0, "z"): -1, (1, "a"): 0, (1, "c"): -1, (1, "d"): -1, (1, "g"): -1, (1, "z"): -1}
 
 
+def test_find_block_in_chunks_and_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    entries = [(r, b, k) for r in range(23) for b, k in enumerate(sorted(f"{rng.randrange(1000):03d}" for _ in range(rng.randrange(1, 9))))]
+    index = spark.createDataFrame([*entries, (23, 0, None)], "run int, block int, last_key string").repartition(7)
+    asked = sorted({f"{rng.randrange(1000):03d}" for _ in range(300)}) + ["999", "", None]
+    probes = spark.createDataFrame([(k,) for k in asked * 2], "key string")
+    want = sorted((r, k or "", min([b for s, b, last in entries if s == r and k is not None and last >= k], default=-1)) for r in range(24) for k in set(asked))
+    for chunk, rows in ((16, 100), (1024, 1_000_000), (7, 10**9)):
+        monkeypatch.setattr(blocks, "CHUNK", chunk)
+        monkeypatch.setattr(blocks, "TASK_ROWS", rows)
+        assert sorted((r.run, r.key or "", r.block) for r in blocks.find_block(index, probes).collect()) == want
+    assert blocks.find_block(index.where("false"), probes).count() == 0
+    assert blocks.find_block(index, probes.where("false")).count() == 0
+
+
+def test_find_block_answers_are_not_gathered(spark):
+    """Many runs and probes of few bytes: the answer is made row by row in many tasks, not in Python by one."""
+    index = spark.range(3000).selectExpr("id AS run", "0L AS block", "'k500' AS last_key")
+    found = blocks.find_block(index, spark.range(1000).selectExpr("format_string('k%03d', id) AS key"))
+    assert "InArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    per = found.groupBy(segments.F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in per) == 3_000_000 and len(per) > 1
+    assert found.groupBy("block").count().orderBy("block").collect() == [(-1, 499 * 3000), (0, 501 * 3000)]
+
+
 def test_placed(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k", "(id * 7919) % 1000 + 1 AS n")
     for r in ordering.placed(df, "k", "n").collect():
