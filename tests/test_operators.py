@@ -136,6 +136,38 @@ def test_rotation(spark):
             segment, held = segment + 1, {}
 
 
+def test_rotate_exact_by_ranges(spark, monkeypatch):
+    """Tables that begin in one range and are full in a later one, keys that are overwritten, ranges that fit one table."""
+    monkeypatch.setattr(segments, "RANGE_ROWS", 20)
+    rng = random.Random(11)
+    for keys, limit in ((5, 23), (60, 70), (9, 75), (3, 10**6), (200, 4)):
+        hot = [(f"k{rng.randrange(keys)}".encode(), None if rng.random() < 0.2 else b"v" * rng.randrange(1, 12)) for _ in range(260)]
+        hot[90:150] = [(b"same", b"v" * (1 + i % 3)) for i in range(60)]  # whole ranges of one key
+        exact = {r.seq: r.segment for r in segments.rotate_exact(log_of(spark, hot), limit).collect()}
+        segment, held, want = 0, {}, {}
+        for i, (k, v) in enumerate(hot):
+            want[i], held[k] = segment, v
+            if sum(len(a) + len(b or b"") for a, b in held.items()) >= limit:
+                segment, held = segment + 1, {}
+        assert exact == want
+
+
+def test_rotate_exact_reads_no_whole_log_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(segments, "RANGE_ROWS", 1000)
+    kind = type(spark.range(0))
+    single, repartition = [], kind.repartition
+
+    def counted(self, n, *cols):
+        if n == 1:
+            single.append(self.count())
+        return repartition(self, n, *cols)
+
+    monkeypatch.setattr(kind, "repartition", counted)
+    log = spark.range(20_000).selectExpr("id AS seq", "concat('user:', (id * 7919) % 500) AS key", "'click|12345' AS value")
+    assert segments.rotate_exact(log, 2048).count() == 20_000
+    assert sum(single) < 2000
+
+
 def test_find_block(spark):
     index = spark.createDataFrame([(0, 0, "c"), (0, 1, "f"), (1, 0, "b")], "run long, block long, last_key string")
     probes = spark.createDataFrame([(k,) for k in "acdgz"], "key string")
